@@ -25,7 +25,8 @@ BANDS, ROWS = 40, 6
 CHUNK = 1 << 21
 #: Rounds with one centre for each bucket; later rounds take four times as many each.
 SINGLE = 3
-SALTS = 16
+#: Pairs that one copy of a centre's set is for.
+PAIRS = 512
 _ALL = B.U(0xFFFFFFFFFFFFFFFF)
 _GOLD = B.U(0x9E3779B97F4A7C15)
 _SOLID = ~B.SPACE
@@ -122,11 +123,16 @@ def _mapped(docs: DataFrame, width: int, with_sets: bool) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (x, y) whose full sets are similar enough. Centres are few and hot: salted."""
-    a = sets.select(F.col("node").alias("x"), F.col("items").alias("xs")).join(pairs.select("x").distinct(), "x", "left_semi")
-    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Those of the pairs (x, y) whose full sets are similar enough.
+
+    A centre x of very many pairs comes in as many copies as its pairs need tasks; others come once.
+    """
+    company = pairs.groupBy("x").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    a = sets.select(F.col("node").alias("x"), F.col("items").alias("xs")).join(company, "x")
+    a = a.select("x", "xs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
     b = sets.select(F.col("node").alias("y"), F.col("items").alias("ys"))
-    both = pairs.join(b, "y").withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("int")).join(a, ["x", "salt"])
+    salted = pairs.join(company, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("salt"))
+    both = salted.join(a, ["x", "salt"]).join(b, "y")
     common = F.size(F.array_intersect("xs", "ys"))
     return both.withColumn("c", common).filter(100 * F.col("c") >= percent * (F.size("xs") + F.size("ys") - F.col("c"))).select("x", "y")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +27,19 @@ FOOTER = struct.Struct("<QIQ4s")
 MAGIC = b"TFS1"
 END_ID = 2
 LEVEL = 1
-#: Pre-tokens whose ids a worker remembers; beyond it the memory starts anew.
+#: Stretches whose ids a worker remembers, at least; at twice as many the older half goes.
 MEMORY = 400_000
 #: Bytes of text for each shard, about.
 SHARD_BYTES = 32 << 20
 
 
 class Encoder:
-    """Ids by the tokenizers library. Byte-level BPE never merges across pre-tokens, so each
-    distinct pre-token is encoded once and remembered."""
+    """Ids by the tokenizers library, each distinct stretch of text encoded once and remembered.
+
+    The pattern never lets a pre-token run on into white space, and byte-level BPE never merges across
+    pre-tokens. So a text may be cut before each space and each line feed that follows no white space,
+    which is wherever they stand alone; texts with longer runs of them are cut into pre-tokens.
+    """
 
     def __init__(self, path: str, pattern: str, memory: int = MEMORY):
         import os
@@ -46,27 +51,76 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(pattern).findall
-        self.memory, self.code, self.ids, self.lens = memory, {}, [], []
+        self.memory, self.known, self.older = memory, {}, {}
+        one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.feed, (self.feed_id,) = "\n", one("\n")
+        self.ends = {x: array("I", one(x)).tobytes() for x in ENDS}
+
+    def _learn(self, keys: list[str]) -> None:
+        """A key is a text whose first character tells how it goes on: see _cut."""
+        known, older = self.known, self.older
+        new, ended = [], []
+        for k in keys:
+            if (x := older.get(k)) is not None:
+                known[k] = x
+            elif k[-1:] in ENDS and k[-2:-1].isalnum():  # a mark after a letter or digit is a pre-token
+                ended.append(k)
+                if (b := k[:-1]) not in known:
+                    new.append(b)
+            else:
+                new.append(k)
+        plain, other = [], []
+        for k in dict.fromkeys(new):
+            (plain if k.isalnum() or _piece(k).split() == [_piece(k).lstrip(" ")] else other).append(k)
+        # words between line feeds, which are pre-tokens of their own there: one call for all
+        ids = np.array(self.tokenizer.encode_batch_fast([self.feed.join(map(_piece, plain))], add_special_tokens=False)[0].ids, np.uint32)
+        cut = [-1, *np.flatnonzero(ids == self.feed_id).tolist(), len(ids)]
+        raw = ids.tobytes()
+        if len(cut) == len(plain) + 1:
+            for k, i, j in zip(plain, cut, cut[1:], strict=False):
+                known[k] = raw[4 * i + 4 : 4 * j]
+        else:
+            other += plain
+        for k, e in zip(other, self.tokenizer.encode_batch_fast(list(map(_piece, other)), add_special_tokens=False), strict=True):
+            known[k] = array("I", e.ids).tobytes()
+        for k in ended:
+            known[k] = known[k[:-1]] + self.ends[k[-1]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Arrays of uint32, the same as the library's for the whole texts."""
-        out = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            pre = self.find(text)
-            try:
-                parts = [self.code[p] for p in pre]
-            except KeyError:
-                if len(self.code) > self.memory:
-                    self.code = {}
-                new = [p for p in dict.fromkeys(pre) if p not in self.code]
-                for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.code[p] = np.array(e.ids, np.uint32).tobytes()
-                parts = [self.code[p] for p in pre]
-            out.append(np.frombuffer(b"".join(parts), np.uint32))
-        return out
+        special = [any(s in t for s in self.special) for t in texts]
+        cuts = [[] if s else _cut(t, self.find) for s, t in zip(special, texts, strict=True)]
+        if len(self.known) > self.memory:
+            self.known, self.older = {}, self.known
+        if new := set().union(*cuts).difference(self.known):
+            self._learn(list(new))
+        get = self.known.__getitem__
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if s else np.frombuffer(b"".join(map(get, x)), np.uint32) for s, t, x in zip(special, texts, cuts, strict=True)]
+
+
+#: Marks that are often the last character of a word.
+ENDS = set(".,;:!?")
+#: Marks a key that is a text by itself; other keys follow a space, or start with their line feed.
+ITSELF = "\0"
+
+
+def _cut(text: str, find) -> list[str]:
+    if not text:
+        return []
+    if "  " in text or " \n" in text or "\n\n" in text or ITSELF in text:
+        return [ITSELF + p for p in find(text)]
+    keys = text.replace("\n", " \n").split(" ")
+    if keys[0]:
+        keys[0] = ITSELF + keys[0]
+    else:
+        del keys[0]  # the text begins with a space or a line feed
+    return keys
+
+
+def _piece(key: str) -> str:
+    if key[:1] == ITSELF:
+        return key[1:]
+    return key if key[:1] == "\n" else " " + key
 
 
 def write_shard(sink, docs: Iterator[tuple[int | None, np.ndarray]], level: int = LEVEL) -> tuple[int, int]:
@@ -179,9 +233,9 @@ def token_files(docs: DataFrame, tokenizer: str, pattern: str, at: str | None =
     if "://" not in at and ":/" not in at:
         at = f"file://{at}"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
-    shards = write_tokens(docs, tokenizer, pattern, at, max(1, -(-size // SHARD_BYTES))).filter("n_docs > 0").orderBy("shard").collect()
+    shards = write_tokens(docs, tokenizer, pattern, at, max(1, -(-size // SHARD_BYTES))).filter("n_docs > 0").collect()  # one row for each write task
     firsts, total = [], 0
-    for s in shards:  # one row for each write task
+    for s in sorted(shards, key=lambda s: s.shard):
         firsts.append((s.file, total))
         total += s.n_shard
     return read_tokens(spark, at, firsts)
