@@ -44,20 +44,45 @@ def _prefix(line: str) -> np.ndarray:
     return np.concatenate((np.zeros(1, B.U), np.cumsum(c * _Powers.of(len(c) + 1)[0][: len(c)], dtype=B.U)))
 
 
-def _part(p: np.ndarray, start: int, end: int) -> int:
-    return (int(p[end]) - int(p[start])) * int(_Powers.of(start + 1)[1][start]) & 0xFFFFFFFFFFFFFFFF
-
-
-def half_keys(line: str) -> tuple[int, list[int]]:
-    """Hash of the line, and keys of its halves for a partner as long or longer, and one shorter."""
-    p = _prefix(line)
-    n = len(p) - 1
-    raw = []
-    for m in (n, n - 1):
-        h = m // 2
-        raw += [_part(p, 0, h) ^ (m << 2), _part(p, n - h, n) ^ (m << 2 | 1)]
-    out = B.mix(np.array([_part(p, 0, n) ^ n << 1, *raw], B.U) * _GOLD + B.U(1)).view(np.int64)
-    return int(out[0]), out[1:].tolist()
+class Lines:
+    """The lines that count of some texts: their text and number, characters, and hashes of their parts."""
+
+    def __init__(self, texts: list[str]):
+        self.whole = "\n".join(texts)
+        codes = np.frombuffer(self.whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        feeds = np.flatnonzero(codes == 10)
+        start, end = np.r_[0, feeds + 1], np.r_[feeds, len(codes)]
+        per = np.array([t.count("\n") + 1 for t in texts], np.int64)
+        doc = np.repeat(np.arange(len(texts)), per)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+        long_ = np.flatnonzero(end[: len(doc)] - start[: len(doc)] >= MIN_CHARS)
+        plain = lambda at: (codes[at] > 32) & (codes[at] < 127)
+        sure = plain(start[long_]) & plain(end[long_] - 1)
+        for i in np.flatnonzero(~sure):
+            sure[i] = len(self.whole[start[long_[i]] : end[long_[i]]].strip()) >= MIN_CHARS
+        at = long_[sure]
+        self.doc, self.number, self.start, self.end = doc[at], number[at].astype(np.int32), start[at], end[at]
+        up, self.down = _Powers.of(len(codes) + 1)
+        c = B.mix(codes.astype(B.U) + B.U(7))
+        self.total = np.concatenate((np.zeros(1, B.U), np.cumsum(c * up[: len(c)], dtype=B.U)))
+
+    def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.total[end] - self.total[start]) * self.down[start]
+
+    def hashes(self) -> np.ndarray:
+        return B.mix((self.part(self.start, self.end) ^ (self.end - self.start).astype(B.U) << B.U(1)) * _GOLD + B.U(1)).view(np.int64)
+
+    def half_keys(self) -> np.ndarray:
+        """For each line keys of its halves for a partner as long or longer, and for one that is shorter."""
+        out, n = [], self.end - self.start
+        for m in (n, n - 1):
+            h = m // 2
+            for side, (s, e) in enumerate(((self.start, self.start + h), (self.end - h, self.end))):
+                out.append(B.mix((self.part(s, e) ^ (m.astype(B.U) << B.U(2) | B.U(side))) * _GOLD + B.U(2)))
+        return np.stack(out, axis=1).view(np.int64) if len(n) else np.zeros((0, 4), np.int64)
+
+    def texts(self) -> list[str]:
+        return [self.whole[s:e] for s, e in zip(self.start.tolist(), self.end.tolist(), strict=True)]
 
 
 def variants(line: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -73,10 +98,9 @@ def variants(line: str) -> tuple[np.ndarray, np.ndarray, int]:
     return placed.view(np.int64), plain.view(np.int64), int(own.view(np.int64)[0])
 
 
-def _lines(text: str) -> Iterator[tuple[int, str]]:
-    for i, line in enumerate(text.split("\n")):
-        if len(line.strip()) >= MIN_CHARS:
-            yield i, line
+def _chunked(column: pa.Array) -> Iterator[tuple[int, Lines]]:
+    for c in B.chunks(column):
+        yield c.first, Lines([c.text(j).decode(errors="replace") for j in range(len(c.offs) - 1)])
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -84,15 +108,10 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ks, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for c in B.chunks(batch.column(2)):
-                out = ([], [], [], [], [])
-                for j in range(len(c.offs) - 1):
-                    for i, line in _lines(c.text(j).decode(errors="replace")):
-                        h, keys = half_keys(line)
-                        for x, v in zip(out, (ks[c.first + j], ids[c.first + j], i, h, keys), strict=True):
-                            x.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["k", "doc_id", "line", "h", "keys"])
+            for first, x in _chunked(batch.column(2)):
+                row, keys = pa.array(first + x.doc), x.half_keys()
+                cols = [batch.column(0).take(row), batch.column(1).take(row), pa.array(x.number), pa.array(x.hashes()), B.lists(keys.ravel(), np.full(len(keys), 4))]
+                yield pa.RecordBatch.from_arrays(cols, names=["k", "doc_id", "line", "h", "keys"])
 
     return docs.select("_k", "doc_id", "text").mapInArrow(run, "k long, doc_id long, line int, h long, keys array<long>")
 
@@ -102,9 +121,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in B.chunks(batch.column(0)):
-                lines = [x for j in range(len(c.offs) - 1) for _, x in _lines(c.text(j).decode(errors="replace"))]
-                yield pa.RecordBatch.from_arrays([pa.array([half_keys(x)[0] for x in lines], pa.int64()), pa.array(lines, pa.string())], names=["h", "line_text"])
+            for _, x in _chunked(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(x.hashes()), pa.array(x.texts(), pa.string())], names=["h", "line_text"])
 
     return docs.select("text").mapInArrow(run, "h long, line_text string")
 
