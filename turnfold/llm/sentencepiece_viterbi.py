@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,10 @@ from . import common as C
 #: How much worse an unknown character is than the worst piece (fixed by the format).
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
+#: Words whose ids a worker remembers, at least; at twice as many the older half goes.
 MEMORY = 300_000
+#: Slots of the table that is asked before the sorted keys; a power of 2.
+TABLE = 1 << 20
 #: Cells of substrings looked up at once.
 CELLS = 1 << 18
 
@@ -47,6 +50,8 @@ class Model:
         order = np.argsort(keys["h"])
         self.keys, self.ids = keys["h"][order], keys["id"][order]
         self.scores = np.array([sp.get_score(int(i)) for i in self.ids], np.float32)
+        self.table = np.zeros(TABLE, bool)
+        self.table[self.keys & B.U(TABLE - 1)] = True
         self.unknown_score = np.float32(self.scores.min() - UNKNOWN_PENALTY)
         self.split = None if any(re.search(f"[^{SPACE}]{SPACE}", pieces[i]) for i in usable) else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.bytes = [p.replace(SPACE, " ").encode() for p in pieces]
@@ -56,7 +61,7 @@ class Model:
         for b, i in enumerate(self.byte_ids):
             if self.byte_fallback:
                 self.bytes[i] = bytes([b])
-        self.memory, self.known = memory, {}
+        self.memory, self.known, self.older = memory, {}, {}
 
     def _hash(self, prefix: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
         """Of the substrings [start, end) of all rows; positions count modulo the table of powers."""
@@ -82,8 +87,8 @@ class Model:
             at += len(some)
         return out
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of one length."""
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length, as int32 bytes."""
         n = len(words[0])
         step = max(1, CELLS // max(1, min(n, self.widest)))
         if len(words) > step:
@@ -96,44 +101,72 @@ class Model:
         for end in range(1, n + 1):
             starts = np.arange(max(0, end - self.widest), end)
             h = self._hash(prefix, starts, end)
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
+            at, hit = self._probe(h)
             score = best[:, starts] + np.where(hit, self.scores[at], np.float32(-np.inf))
             lone = ~hit[:, -1]
             score[lone, -1] = best[lone, end - 1] + self.unknown_score
             arg = score.argmax(axis=1)
             best[:, end], back[:, end] = score[rows, arg], starts[arg]
             piece[:, end] = np.where(hit[rows, arg], self.ids[at[rows, arg]], -1)
-        out = []
-        for w, b, p in zip(words, back.tolist(), piece.tolist(), strict=True):
-            ids, end = [], n
-            while end:
-                if p[end] >= 0:
-                    ids.append(p[end])
-                elif self.byte_fallback:
-                    ids += self.byte_ids[list(w[b[end] : end].encode()[::-1])].tolist()
-                elif not ids or ids[-1] != self.unknown:  # the library joins unknown characters
-                    ids.append(self.unknown)
-                end = b[end]
-            out.append(np.array(ids[::-1], np.int32))
+        return self._followed(words, back, piece)
+
+    def _probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the sorted keys, and whether they hold; a small table turns most others away."""
+        likely = np.flatnonzero(self.table[h & B.U(TABLE - 1)])
+        flat = h.ravel()
+        found = np.minimum(np.searchsorted(self.keys, flat[likely]), len(self.keys) - 1)
+        same = self.keys[found] == flat[likely]
+        at, hit = np.zeros(h.size, np.int64), np.zeros(h.size, bool)
+        at[likely], hit[likely] = found, same
+        return at.reshape(h.shape), hit.reshape(h.shape)
+
+    def _followed(self, words: list[str], back: np.ndarray, piece: np.ndarray) -> list[bytes]:
+        """Ids along the backpointers, all words a step at a time; as int32 bytes."""
+        m, n = len(words), back.shape[1] - 1
+        rows, end, steps = np.arange(m), np.full(m, n), []
+        while end.any():
+            steps.append(np.where(end > 0, piece[rows, end], -2))
+            end = back[rows, end]
+        path = np.stack(steps[::-1], axis=1)
+        on = path != -2
+        raw, cut = path[on].astype(np.int32).tobytes(), np.r_[0, np.cumsum(on.sum(axis=1))].tolist()
+        out = [raw[4 * a : 4 * b] for a, b in zip(cut, cut[1:], strict=False)]
+        for i in np.flatnonzero((path == -1).any(axis=1)).tolist():
+            out[i] = self._with_unknown(words[i], back[i].tolist(), piece[i].tolist())
         return out
 
+    def _with_unknown(self, word: str, back: list[int], piece: list[int]) -> bytes:
+        ids, end = [], len(word)
+        while end:
+            if piece[end] >= 0:
+                ids.append(piece[end])
+            elif self.byte_fallback:
+                ids += self.byte_ids[list(word[back[end] : end].encode()[::-1])].tolist()
+            elif not ids or ids[-1] != self.unknown:  # the library joins unknown characters
+                ids.append(self.unknown)
+            end = back[end]
+        return np.array(ids[::-1], np.int32).tobytes()
+
     def learn(self, words: list[str]) -> None:
         by: dict[int, list[str]] = {}
         for w in words:
             by.setdefault(len(w), []).append(w)
         for some in by.values():
             for w, ids in zip(some, self.viterbi(some), strict=True):
-                self.known[w] = ids.tobytes()
+                self.known[w] = ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         norm = [self.lib.normalize(x) for x in texts]
         cut = [(self.split(x) if self.split else [x]) if x else [] for x in norm]
-        new = {w for x in cut for w in x} - self.known.keys()
-        if len(self.known) + len(new) > self.memory:
-            self.known = {}
-            new = {w for x in cut for w in x}
-        self.learn(list(new))
+        if len(self.known) > self.memory:
+            self.known, self.older = {}, self.known
+        new = []
+        for w in set().union(*cut).difference(self.known):
+            if (x := self.older.get(w)) is None:
+                new.append(w)
+            else:
+                self.known[w] = x
+        self.learn(new)
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, x)), np.int32) for x in cut]
 
@@ -142,6 +175,12 @@ class Model:
         return raw.removeprefix(b" ").decode(errors="replace")
 
 
+@lru_cache(maxsize=1)
+def model_of(path: str) -> Model:
+    """One for each worker process, so that later tasks find the words of earlier ones."""
+    return Model(path)
+
+
 def _chars(words: list[str], n: int) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
 
@@ -156,7 +195,7 @@ def sentencepiece_encode(docs: DataFrame, model: str, keep: list[str] | None = N
     keep = [c for c in (keep or ["doc_id"]) if c not in ("n_tokens", "ids", "roundtrip")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(model)
+        own = model_of(model)
         for batch in batches:
             texts = batch.column(len(keep))
             at = 0

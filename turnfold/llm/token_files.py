@@ -12,6 +12,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,12 @@ class Encoder:
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if s else np.frombuffer(b"".join(map(get, x)), np.uint32) for s, t, x in zip(special, texts, cuts, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One for each worker process, so that later tasks find the words of earlier ones."""
+    return Encoder(path, pattern)
+
+
 #: Marks that are often the last character of a word.
 ENDS = set(".,;:!?")
 #: Marks a key that is a text by itself; other keys follow a space, or start with their line feed.
@@ -180,7 +187,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, at: str, shards:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = Encoder(tokenizer, pattern), TaskContext.get().partitionId()
+        own, part = encoder(tokenizer, pattern), TaskContext.get().partitionId()
         store, folder = fs.FileSystem.from_uri(at)
         end = np.array([END_ID], np.uint32)
 
@@ -188,14 +195,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, at: str, shards:
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1)
                 for i in range(0, len(ids), 64):
-                    for doc_id, x in zip(ids[i : i + 64], encoder.encode(texts.slice(i, 64).fill_null("").to_pylist()), strict=True):
+                    for doc_id, x in zip(ids[i : i + 64], own.encode(texts.slice(i, 64).fill_null("").to_pylist()), strict=True):
                         yield doc_id, np.concatenate((x, end))
 
         name = f"{folder}/shard-{part:06d}.tfs"
-        own = f"{name}.{uuid.uuid4().hex}"
-        with store.open_output_stream(own) as sink:
+        draft = f"{name}.{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as sink:
             n, tokens = write_shard(sink, rows())
-        store.move(own, name)
+        store.move(draft, name)
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (name, pa.string()), (n, pa.int64()), (tokens, pa.int64()))], names=["shard", "file", "n_docs", "n_shard"])
 
     store, folder = fs.FileSystem.from_uri(at)
