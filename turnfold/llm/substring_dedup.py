@@ -7,8 +7,8 @@ name is unique take no part in the next round:
 1. Length GRAM, at positions sampled by content: those of the least name in a neighbourhood of GRAM.
    Equal strings of LENGTH bytes have the same neighbourhoods inside, so a window with one whose
    sampled position is unique is unique. Names of this length are doubled from single bytes within a row, without Spark.
-2. Sampled positions paired with the ones at growing offsets name whole stretches from a sampled
-   position before a window to one after it. Windows inside a repeated stretch are repeated.
+2. Sampled positions paired with the ones at growing offsets (1, 2, 4, ... of them) name whole
+   stretches from a sampled position before a window to one after it. Windows inside a repeated stretch are repeated.
 3. Length LENGTH, for windows that are still open, and, once for each repeated stretch, for windows
    of it that they may equal: pairs of names at p and p + LENGTH - 256.
 """
@@ -78,19 +78,93 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return q[new], h[q[new]], w[new], w[last]
 
 
+#: Rows that a task holds before it combines them.
+PENDING = 1 << 21
+NAMED = "h long, k long, a long, b long, w tinyint"
+
+
+class Combined:
+    """Named rows (name h, row k, place a, b, whether they ask) of a task, combined by name.
+
+    w: 1 a name seen once here, 2 the first of several, 3 one more of several. The last kind is known
+    to be repeated and need not meet its name again; those that do not ask are not even kept.
+    """
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
+
+    def add(self, h, k, a, b, ask) -> Iterator[pa.RecordBatch]:
+        self.held.append((h, k, a, b, ask))
+        self.n += len(h)
+        if self.n > PENDING:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        h, k, a, b, ask = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.n = [], 0
+        order = np.argsort(h, kind="stable")
+        h, k, a, b, ask = h[order], k[order], a[order], b[order], ask[order]
+        new = np.r_[True, h[1:] != h[:-1]]
+        first = np.flatnonzero(new)
+        many = np.repeat(np.diff(np.r_[first, len(h)]) > 1, np.diff(np.r_[first, len(h)]))
+        w = np.where(many, np.where(new, 2, 3), 1).astype(np.int8)
+        w = np.where(ask, w, -w).astype(np.int8)  # below 0: does not ask
+        keep = w != -3
+        for i in range(0, int(keep.sum()), 1 << 17):
+            on = np.flatnonzero(keep)[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (h.view(np.int64), k, a, b, w)], names=["h", "k", "a", "b", "w"])
+
+
+def _met(named: DataFrame) -> DataFrame:
+    """h, k, a, b, ask, sure, stands: whether a name is repeated, and one row of each that stands for it.
+
+    A task sends each name once at most, so a common name brings no partition more rows than there are
+    tasks; the others of several are spread evenly.
+    """
+    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    where = F.when(F.abs("w") == 3, F.xxhash64("k", "a")).otherwise(F.col("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)] for batch in batches]
+        if not held:
+            return
+        h, k, a, b, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        ask, w = w > 0, np.abs(w)
+        order = np.lexsort((w == 3, h))
+        h, k, a, b, w, ask = h[order], k[order], a[order], b[order], w[order], ask[order]
+        alone = w == 3
+        new = np.r_[True, (h[1:] != h[:-1]) | (alone[1:] != alone[:-1])]
+        first = np.flatnonzero(new)
+        times = np.add.reduceat(w.astype(np.int64), first)
+        sure = alone | np.repeat(times > 1, np.diff(np.r_[first, len(h)]))
+        stands = new & ~alone
+        for i in range(0, len(h), 1 << 17):
+            on = slice(i, i + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (h, k, a, b, ask, sure, stands)], names=["h", "k", "a", "b", "ask", "sure", "stands"])
+
+    return named.repartition(parts, where).mapInArrow(run, "h long, k long, a long, b long, ask boolean, sure boolean, stands boolean")
+
+
 def _sampled(docs: DataFrame) -> DataFrame:
-    """k, at, g: a row for each sampled position; at packs the position and how far back its neighbourhoods begin."""
+    """A named row for each sampled position: its name and, as a, the position and how far back its
+    neighbourhoods begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Combined()
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for c in B.chunks(batch.column(1)):
                 at, g, first, last = anchors(c.data, c.offs)
                 doc = np.searchsorted(c.offs, at, "right") - 1
                 packed = (at - c.offs[doc]) << 16 | (at - first) << 8 | (at - last)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[c.first + doc], pa.int64()), pa.array(packed, pa.int64()), pa.array(g.view(np.int64))], names=["k", "at", "g"])
+                yield from out.add(g, keys[c.first + doc], packed, np.zeros(len(at), np.int64), np.ones(len(at), bool))
+        yield from out.flush()
 
-    return docs.select("_k", "text").mapInArrow(run, "k long, at long, g long")
+    return docs.select("_k", "text").mapInArrow(run, NAMED)
 
 
 def stretches(at: np.ndarray, g: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -138,28 +212,34 @@ def stretches(at: np.ndarray, g: np.ndarray) -> tuple[list[tuple[int, int, int]]
 
 
 def _stretches(found: DataFrame) -> DataFrame:
-    """k, name (null: open), a, b: ranges of windows; found: k, list (at, g)."""
+    """Named rows of the ranges of windows; names of open ones are made up and do not matter.
+
+    found: k, list (a, h). b: the last window, below 0 (and one less) if the range is open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Combined()
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [])
+            rows: list[tuple[int, int, int, int]] = []
             for k, items in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                at, g = np.array([x["at"] for x in items], np.int64), np.array([x["g"] for x in items], np.int64).view(B.U)
+                at, g = np.array([x["a"] for x in items], np.int64), np.array([x["h"] for x in items], np.int64).view(B.U)
                 closed, open_ = stretches(at, g)
-                for name, a, b in [*closed, *((None, a, b) for a, b in open_)]:
-                    for x, v in zip(cols, (k, name, a, b), strict=True):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["k", "name", "a", "b"])
+                rows += [(name, k, a, b) for name, a, b in closed]
+                rows += [(k + a * 2654435761 & 0x7FFFFFFFFFFFFFFF, k, a, -b - 1) for a, b in open_]
+            if rows:
+                name, k, a, b = np.array(rows, np.int64).T
+                yield from out.add(name.view(B.U), k, a, b, np.ones(len(k), bool))
+        yield from out.flush()
 
-    return found.mapInArrow(run, "k long, name long, a long, b long")
+    return found.mapInArrow(run, NAMED)
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """h, k, p of windows; k is null for those that only stand for a repeated stretch.
+    """Named rows of windows; those that only stand for a repeated stretch do not ask.
 
     texts: _k, text, list of (a, b, open)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Combined()
         for batch in batches:
             keys, ranges = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts = batch.column(1).cast(pa.large_binary())
@@ -171,15 +251,33 @@ def _windows(texts: DataFrame) -> DataFrame:
                 name = _pair(half[: len(data) - LENGTH + 1], half[LENGTH - 256 :])
                 p = np.concatenate([np.arange(r["a"], r["b"] + 1) for r in own])
                 asks = np.repeat([r["open"] for r in own], [r["b"] - r["a"] + 1 for r in own])
-                for i in range(0, len(p), 1 << 16):
-                    q, ask = p[i : i + (1 << 16)], asks[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(name[q].view(np.int64)), pa.array(np.full(len(q), k), mask=~ask), pa.array(q, mask=~ask)], names=["h", "k", "p"])
+                yield from out.add(name[p], np.full(len(p), k), p, p, asks)
+        yield from out.flush()
+
+    return texts.mapInArrow(run, NAMED)
 
-    return texts.mapInArrow(run, "h long, k long, p long")
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """k, runs: the ranges (k, a, b) of each partition, joined where they touch, as pairs of 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not len(k):
+                continue
+            order = np.lexsort((a, k))
+            k, a, b = k[order], a[order], b[order]
+            first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (a[1:] > b[:-1] + 1)])
+            pair = np.stack((a[first], np.maximum.reduceat(b, first)), axis=1).astype(np.int32)
+            own = np.flatnonzero(np.r_[True, k[first][1:] != k[first][:-1]])
+            cut = np.r_[own, len(first)].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(k[first][own]), pa.array([pair[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary())], names=["k", "runs"])
+
+    return rows.select("k", "a", "b").mapInArrow(run, "k long, runs binary")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """_k and the digest columns; texts: _k, text, list of (a, b) of repeated windows."""
+    """_k and the digest columns; texts: _k, text, list of packed ranges of repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -190,7 +288,7 @@ def _cut(texts: DataFrame) -> DataFrame:
             for k, text, own in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
                 raw = text.as_py() or b""
                 kept, at, removed, spans, end = hashlib.sha256(), 0, 0, 0, -1
-                for a, b in sorted((r["a"], r["b"] + LENGTH) for r in own):
+                for a, b in sorted((a, b + LENGTH) for r in own for a, b in np.frombuffer(r, np.int32).reshape(-1, 2).tolist()):
                     if a > end:
                         kept.update(raw[at:a])
                         spans += 1
@@ -206,29 +304,20 @@ def _cut(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "_k long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def repeated_windows(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """k, spans: the (a, b) ranges of windows of LENGTH bytes that also start elsewhere in `docs`.
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """k, spans: packed ranges of windows of LENGTH bytes that also start elsewhere in `docs`.
 
-    docs: _k, text, every text once (`reps`, k, are the rows that count; other rows of `docs` are
-    copies of theirs).
-    """
-    found = C.written(_sampled(docs), "sampled")
-    twice = found.groupBy("g").count().filter("count > 1").select("g")
-    found = found.join(twice, "g", "left_semi").join(reps, "k")
-    lists = found.groupBy("k").agg(F.collect_set(F.struct("at", "g")).alias("items"))
-    ranges = C.written(_stretches(lists.select("k", "items")), "stretches")
-    named = ranges.filter("name is not null").groupBy("name").agg(F.count("*").alias("times"), F.min(F.struct("k", "a")).alias("first"))
-    ranges = ranges.join(named, "name", "left")
-    sure = F.coalesce(F.col("times") > 1, F.lit(False))
-    stands = F.coalesce((F.col("first.k") == F.col("k")) & (F.col("first.a") == F.col("a")), F.lit(False))
-    ranges = C.written(ranges.select("k", "a", "b", sure.alias("sure"), (~sure | stands).alias("out")), "ranges")
+    docs: _k, text, every text once."""
+    found = _met(_sampled(docs)).filter("sure").groupBy("k").agg(F.collect_set(F.struct("a", "h")).alias("items"))
+    ranges = _met(_stretches(found.select("k", "items")))
+    last = F.when(F.col("b") < 0, -F.col("b") - 1).otherwise(F.col("b"))
+    sure = F.col("sure") & (F.col("b") >= 0)
+    ranges = C.written(ranges.select("k", "a", last.alias("b"), sure.alias("sure"), (~sure | F.col("stands")).alias("out")), "ranges")
     wanted = ranges.filter("out").groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("a", "b", (~F.col("sure")).alias("open"))).alias("own"))
-    some = C.with_maybe(docs.select("_k", "text"), "_k", wanted, "_k", "_maybe").filter("_maybe").drop("_maybe")
-    windows = C.written(_windows(some.join(wanted, "_k").select("_k", "text", "own")), "windows")
-    more = windows.groupBy("h").count().filter("count > 1").select("h")
-    open_ = windows.filter("k is not null").join(more, "h", "left_semi").select("k", F.col("p").alias("a"), F.col("p").alias("b"))
-    both = ranges.filter("sure").select("k", "a", "b").union(open_)
-    return both.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    some = C.with_maybe(docs.select("_k", "text"), "_k", ranges.filter("out"), "k", "_maybe").filter("_maybe").drop("_maybe")
+    open_ = _met(_windows(some.join(wanted, "_k").select("_k", "text", "own"))).filter("sure and ask")
+    both = _packed(ranges.filter("sure")).union(_packed(open_))
+    return both.groupBy("k").agg(F.collect_list("runs").alias("spans"))
 
 
 def substring_deduplicated(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -244,10 +333,17 @@ def substring_deduplicated(docs: DataFrame, keep: list[str] | None = None) -> Da
     base = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], text.alias("text"))
     base = base.withColumn(k, F.xxhash64(*[f"_keep{i}" for i in range(len(keep))], "text")).withColumn(size, F.octet_length("text").cast("long"))
     long_ = base.filter(F.col(size) >= LENGTH)
-    ids = C.written(base.select(k, size, F.md5("text").alias("digest")).filter(F.col(size) >= LENGTH).groupBy("digest").agg(F.min(k).alias("k"), F.max(size).alias("n_bytes"), F.count("*").alias("times")), "digests")
-    spans = C.written(repeated_windows(long_, ids.select("k")), "spans")
-    whole = F.struct(F.lit(0).cast("long").alias("a"), (F.col("n_bytes") - LENGTH).alias("b"))
-    copies = C.written(long_.select(k, F.md5("text").alias("digest"), F.col(size).alias("n_bytes")).join(ids.filter("times > 1").select("digest"), "digest", "left_semi").select(F.col(k).alias("k"), "n_bytes").distinct(), "copies")
+    ids = C.written(long_.select(k, size, F.md5("text").alias("digest")).groupBy(k, "digest").agg(F.max(size).alias("n_bytes"), F.count("*").alias("rows")), "digests")
+    groups = ids.groupBy("digest").agg(F.min(k).alias("first"), F.sum("rows").alias("times")).filter("times > 1")
+    copies = C.written(ids.join(groups, "digest").select(F.col(k).alias("k"), "first", "n_bytes", "rows"), "copies")
+    # each text once: rows that surely are no copies, and the first of each group
+    split = C.with_maybe(long_.select(k, "text"), k, copies, "k", "_maybe")
+    rest = split.filter("_maybe").drop("_maybe").join(copies.filter("k <> first").select(F.col("k").alias(k)), k, "left_anti")
+    rest = rest.join(copies.filter("rows > 1").select(F.col("k").alias(k)), k, "left_anti").union(
+        split.filter("_maybe").drop("_maybe").join(copies.filter("k = first and rows > 1").select(F.col("k").alias(k)), k, "left_semi").dropDuplicates([k])
+    )
+    spans = C.written(repeated_windows(split.filter("not _maybe").drop("_maybe").union(rest)), "spans")
+    copies = copies.select("k", "n_bytes")
     partly = spans.join(copies.select("k"), "k", "left_anti").withColumnRenamed("k", k)
     cols = [F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)]
     flagged = C.with_maybe(base, k, partly.select(k).union(copies.select(F.col("k").alias(k))), k, "_maybe")
