@@ -27,6 +27,9 @@ CHUNK = 1 << 21
 SINGLE = 3
 #: Pairs that one copy of a centre's set is for.
 PAIRS = 512
+#: Coordinates, of 4 bits each, of the sketches that later rounds hold pairs against before their sets;
+#: a pair of the least similarity falls short of what is asked with a chance under 1e-5.
+FINE, DEVIATIONS = 1024, 4.3
 _ALL = B.U(0xFFFFFFFFFFFFFFFF)
 _GOLD = B.U(0x9E3779B97F4A7C15)
 _SOLID = ~B.SPACE
@@ -96,6 +99,25 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def nibbles(sketch: np.ndarray) -> np.ndarray:
+    """The low 4 bits of 16 coordinates in each word."""
+    parts = (sketch & B.U(15)).reshape(len(sketch), -1, 16)
+    return np.bitwise_or.reduce(parts << (B.U(4) * np.arange(16, dtype=B.U)), axis=2)
+
+
+def _close(a: str, b: str, percent: int):
+    """Whether two fine sketches are near enough for sets of the least similarity."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    least = FINE * p - DEVIATIONS * (FINE * p * (1 - p)) ** 0.5
+
+    def unequal(x, y):
+        z = x.bitwiseXOR(y)
+        some = z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z, 3))
+        return F.bit_count(some.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda s, v: s + v) <= int(FINE - least)
+
+
 def _set_hash(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """64 bits of each set."""
     total = np.concatenate((np.zeros(1, B.U), np.cumsum(B.mix(x ^ _GOLD), dtype=B.U)))
@@ -113,13 +135,15 @@ def _mapped(docs: DataFrame, width: int, with_sets: bool) -> DataFrame:
                 cols = [batch.column(0).slice(at, len(counts)), pa.array(counts), node]
                 if with_sets:
                     cols.append(B.lists(x.view(np.int64), counts))
+                    fine = nibbles(sketches(x, counts, FINE))
+                    cols.append(B.lists(fine.view(np.int64).ravel(), np.full(len(counts), FINE // 16)))
                 else:
                     keys = band_keys(sketches(x, counts, BANDS * ROWS), BANDS, ROWS)
                     cols.append(B.lists(keys.view(np.int64).ravel(), np.full(len(counts), BANDS)))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "node", "items"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "node", "items", "fine"][: len(cols)])
                 at += len(counts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, items array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, items array<long>" + ", fine array<long>" * with_sets)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,7 +187,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         reps = nodes.join(some, "node", "left_semi").select(F.col("label").alias("doc_id"))
         text = C.with_maybe(docs.select("doc_id", "text"), "doc_id", reps, "doc_id", "_maybe").filter("_maybe").drop("_maybe")
         text = text.join(reps.distinct().withColumnRenamed("doc_id", "_rep"), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-        sets = C.written(_mapped(text, width, True).join(some, "node", "left_semi").dropDuplicates(["node"]).select("node", "items"), "sets")
+        sets = C.written(_mapped(text, width, True).join(some, "node", "left_semi").dropDuplicates(["node"]).select("node", "items", "fine"), "sets")
         roots = _linked(m, sets, percent)
     label = nodes.select("node", "label")
     if roots is not None:
@@ -198,8 +222,11 @@ def _linked(m: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
             start = 0.0 if step == SINGLE + 1 else covered
             covered = start + 4.0 ** (step - SINGLE + 1)
             at = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("size")
-            centre = now.filter((at >= start) & (at < covered)).select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
+            now = now.join(sets.select("node", "fine"), "node")
+            centre = now.filter((at >= start) & (at < covered)).select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("fine").alias("xf"))
         pairs = now.join(centre, "key").filter("root != xr").filter(100 * F.least("n", "xn") >= percent * F.greatest("n", "xn"))
+        if step > SINGLE:
+            pairs = pairs.filter(_close("fine", "xf", percent))
         pairs = pairs.select(F.least("node", "x").alias("lo"), F.greatest("node", "x").alias("hi"), "x", F.col("node").alias("y")).dropDuplicates(["lo", "hi"])
         if tested is not None:
             pairs = pairs.join(tested, ["lo", "hi"], "left_anti")

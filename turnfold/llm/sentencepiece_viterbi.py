@@ -23,7 +23,7 @@ from . import common as C
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
 #: Words whose ids a worker remembers, at least; at twice as many the older half goes.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Slots of the table that is asked before the sorted keys; a power of 2.
 TABLE = 1 << 20
 #: Cells of substrings looked up at once.
@@ -192,6 +192,7 @@ def sentencepiece_encode(docs: DataFrame, model: str, keep: list[str] | None = N
     each by itself; no row depends on another. Columns of `docs` named as the new ones are replaced.
     The character U+2581 decodes to a space, as in the library.
     """
+    C.small_batches(docs.sparkSession)
     keep = [c for c in (keep or ["doc_id"]) if c not in ("n_tokens", "ids", "roundtrip")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
