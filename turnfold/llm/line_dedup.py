@@ -112,6 +112,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 row, keys = pa.array(first + x.doc), x.half_keys()
                 cols = [batch.column(0).take(row), batch.column(1).take(row), pa.array(x.number), pa.array(x.hashes()), B.lists(keys.ravel(), np.full(len(keys), 4))]
                 yield pa.RecordBatch.from_arrays(cols, names=["k", "doc_id", "line", "h", "keys"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select("_k", "doc_id", "text").mapInArrow(run, "k long, doc_id long, line int, h long, keys array<long>")
 

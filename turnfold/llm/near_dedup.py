@@ -22,7 +22,7 @@ from .components import components
 #: At a similarity of 0.8 a pair shares no band with a chance of (1 - 0.8 ** 6) ** 40, under 6e-6.
 BANDS, ROWS = 40, 6
 #: Bytes of text sketched at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Rounds with one centre for each bucket; later rounds take four times as many each.
 SINGLE = 3
 #: Pairs that one copy of a centre's set is for.
@@ -142,6 +142,7 @@ def _mapped(docs: DataFrame, width: int, with_sets: bool) -> DataFrame:
                     cols.append(B.lists(keys.view(np.int64).ravel(), np.full(len(counts), BANDS)))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "node", "items", "fine"][: len(cols)])
                 at += len(counts)
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, items array<long>" + ", fine array<long>" * with_sets)
 
