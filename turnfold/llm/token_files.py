@@ -7,6 +7,7 @@ FOOTER. A reader opens the end of the file, and decompresses only the frames it
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -29,7 +30,7 @@ MAGIC = b"TFS1"
 END_ID = 2
 LEVEL = 1
 #: Stretches whose ids a worker remembers, at least; at twice as many the older half goes.
-MEMORY = 400_000
+MEMORY = 600_000
 #: Bytes of text for each shard, about.
 SHARD_BYTES = 32 << 20
 
@@ -53,39 +54,31 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(pattern).findall
         self.memory, self.known, self.older = memory, {}, {}
-        one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        self.feed, (self.feed_id,) = "\n", one("\n")
-        self.ends = {x: array("I", one(x)).tobytes() for x in ENDS}
+        self.marks = {"": b""}
+        self.feed_ids = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
 
     def _learn(self, keys: list[str]) -> None:
-        """A key is a text whose first character tells how it goes on: see _cut."""
-        known, older = self.known, self.older
-        new, ended = [], []
+        """A key is a text whose first character tells how it goes on: see _cut.
+
+        A word of common letters, with marks after it or none, is one pre-token for its letters and one
+        for its marks; the letters go to the library's model, without its pre-tokenizer.
+        """
+        known, older, tokenize = self.known, self.older, self.tokenizer.model.tokenize
+        if len(self.marks) > self.memory:
+            self.marks = {"": b""}
+        marks, other = self.marks, []
         for k in keys:
             if (x := older.get(k)) is not None:
                 known[k] = x
-            elif k[-1:] in ENDS and k[-2:-1].isalnum():  # a mark after a letter or digit is a pre-token
-                ended.append(k)
-                if (b := k[:-1]) not in known:
-                    new.append(b)
+            elif m := WORD.fullmatch(k):
+                if (end := marks.get(m[3])) is None:
+                    end = marks[m[3]] = array("I", self.tokenizer.encode(m[3], add_special_tokens=False).ids).tobytes()
+                ids = array("I", [t.id for t in tokenize(_letters(m))]).tobytes() + end
+                known[k] = self.feed_ids + ids if m[1] == "\n" else ids
             else:
-                new.append(k)
-        plain, other = [], []
-        for k in dict.fromkeys(new):
-            (plain if k.isalnum() or _piece(k).split() == [_piece(k).lstrip(" ")] else other).append(k)
-        # words between line feeds, which are pre-tokens of their own there: one call for all
-        ids = np.array(self.tokenizer.encode_batch_fast([self.feed.join(map(_piece, plain))], add_special_tokens=False)[0].ids, np.uint32)
-        cut = [-1, *np.flatnonzero(ids == self.feed_id).tolist(), len(ids)]
-        raw = ids.tobytes()
-        if len(cut) == len(plain) + 1:
-            for k, i, j in zip(plain, cut, cut[1:], strict=False):
-                known[k] = raw[4 * i + 4 : 4 * j]
-        else:
-            other += plain
+                other.append(k)
         for k, e in zip(other, self.tokenizer.encode_batch_fast(list(map(_piece, other)), add_special_tokens=False), strict=True):
             known[k] = array("I", e.ids).tobytes()
-        for k in ended:
-            known[k] = known[k[:-1]] + self.ends[k[-1]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Arrays of uint32, the same as the library's for the whole texts."""
@@ -105,10 +98,22 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-#: Marks that are often the last character of a word.
-ENDS = set(".,;:!?")
 #: Marks a key that is a text by itself; other keys follow a space, or start with their line feed.
 ITSELF = "\0"
+#: How a key starts, Latin letters, ASCII marks.
+WORD = re.compile(r"([\0\n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
+#: Byte-level vocabularies write a byte as itself where it prints, the others from 256 on in order.
+_PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTS))}
+
+
+def _letters(m: re.Match) -> str:
+    """The vocabulary's writing of the letters of a WORD, with the space before them if there is one."""
+    w = m[2] if m[1] else " " + m[2]
+    return w.encode().decode("latin-1").translate(_BYTES) if not m[2].isascii() else w if m[1] else SPACE + m[2]
+
+
+SPACE = chr(_BYTES[0x20])
 
 
 def _cut(text: str, find) -> list[str]:
