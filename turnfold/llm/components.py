@@ -9,20 +9,19 @@ from . import common as C
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (least node reachable) for every node in `links` (x, y: long, not null).
+    """node, root (least node reachable) for every node in `links` (x, y: long, not null), a written table.
 
     A round: each node takes the least root among its own and its neighbours' (combined before the
     shuffle, so that hubs do no harm), then the root of its root. Rounds end when nothing changes,
     after about the logarithm of the longest path.
     """
-    both = C.written(links.select("x", "y").union(links.select("y", "x")).filter("x != y").dropDuplicates(), "links")
+    both = links.select("x", "y").union(links.select("y", "x")).filter("x != y")
     roots = C.written(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("root")), "roots")
     while True:
         seen = both.join(roots.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("root").alias("least"))
         step = roots.join(seen, roots["node"] == seen["x"]).select("node", F.least("root", "least").alias("new"), (F.col("least") < F.col("root")).alias("moved"))
         step = C.written(step, "roots")
+        if not step.filter("moved").limit(1).count():
+            return step.select("node", F.col("new").alias("root"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        done = not step.filter("moved").limit(1).count()
         roots = C.written(step.join(jump, "new", "left").select("node", F.coalesce(F.least("far", "new"), F.col("new")).alias("root")), "roots")
-        if done:
-            return roots

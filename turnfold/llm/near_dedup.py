@@ -23,8 +23,8 @@ from .components import components
 BANDS, ROWS = 40, 6
 #: Bytes of text sketched at once.
 CHUNK = 1 << 20
-#: Rounds with one centre for each bucket; later rounds take sixteen times as many each.
-SINGLE = 3
+#: The first round takes one centre for each bucket, round r + 1 takes CENTRES ** r more.
+CENTRES = 64
 #: Pairs that one copy of a centre's set is for.
 PAIRS = 512
 #: Coordinates, of one bit each, of the sketches that later rounds hold pairs against before their sets;
@@ -220,7 +220,7 @@ def _linked(m: DataFrame, sets: DataFrame, tags: DataFrame, percent: int) -> Dat
     In later rounds a pair is made in the first of its common buckets only. `tags` has 32 bits of each
     band key: two nodes seem to share an earlier band, wrongly, with a chance under 1e-8.
     """
-    links = tested = used = roots = fine = None
+    links = tested = roots = fine = None
     step, covered = 0, 1.0
     while True:
         step += 1
@@ -230,16 +230,12 @@ def _linked(m: DataFrame, sets: DataFrame, tags: DataFrame, percent: int) -> Dat
         now = C.written(now.join(open_, "key", "left_semi"), "round")
         if not now.limit(1).count():
             return roots
-        if step <= SINGLE:
-            fresh = now if used is None else now.join(used, ["key", "node"], "left_anti")
-            centre = fresh.groupBy("key").agg(F.max(F.struct("company", "node", "n", "root")).alias("c")).select("key", F.col("c.node").alias("x"), F.col("c.n").alias("xn"), F.col("c.root").alias("xr"))
-            centre = C.written(centre, "centres")
-            own = centre.select("key", F.col("x").alias("node"))
-            used = own if used is None else used.union(own)
-            covered = step + 1.0
+        if step == 1:
+            centre = now.groupBy("key").agg(F.max(F.struct("company", "node", "n", "root")).alias("c")).select("key", F.col("c.node").alias("x"), F.col("c.n").alias("xn"), F.col("c.root").alias("xr"))
+            covered = 2.0
         else:
-            start = 0.0 if step == SINGLE + 1 else covered
-            covered = start + 16.0 ** (step - SINGLE)
+            start = 0.0 if step == 2 else covered
+            covered = start + float(CENTRES ** (step - 1))
             if fine is None:
                 open_sets = sets.join(now.select("node").distinct(), "node", "left_semi")
                 fine = C.written(_finer(open_sets).join(tags, "node"), "fine")
@@ -247,10 +243,10 @@ def _linked(m: DataFrame, sets: DataFrame, tags: DataFrame, percent: int) -> Dat
             now = now.join(fine, "node")
             centre = now.filter((at >= start) & (at < covered)).select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("fine").alias("xf"), F.col("tags").alias("xt"))
         pairs = now.join(centre, "key").filter("root != xr").filter(100 * F.least("n", "xn") >= percent * F.greatest("n", "xn"))
-        if step > SINGLE:
+        if step > 1:
             upto = lambda c: F.slice(c, F.lit(1), F.col("band").cast("int"))
             earlier = F.exists(F.zip_with(upto("tags"), upto("xt"), lambda x, y: x == y), lambda e: e)
-            pairs = pairs.filter(_close("fine", "xf", percent)).filter(~earlier)
+            pairs = pairs.filter(~earlier).filter(_close("fine", "xf", percent))
         pairs = pairs.select(F.least("node", "x").alias("lo"), F.greatest("node", "x").alias("hi"), "x", F.col("node").alias("y")).dropDuplicates(["lo", "hi"])
         if tested is not None:
             pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
