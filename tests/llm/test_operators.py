@@ -223,6 +223,30 @@ def test_line_dedup(spark):
     assert len(line_deduplicated(frame(spark, ["a line that is long enough"] * 3, [1, 1, 2])).filter("text != ''").collect()) == 2
 
 
+def kept_of_all_lines(docs):
+    """Without any cut by length: every line that is not blank counts."""
+    first = {}
+    for i, t in sorted(docs, key=lambda d: d[0]):
+        for n, line in enumerate((t or "").split("\n")):
+            if line.strip():
+                first.setdefault(line, (i, n))
+    near = {x for x in first for y in first if first[y] < first[x] and x != y and brute.distance(x, y) <= 1}
+    return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not x.strip() or (first[x] == (i, n) and x not in near)) for i, t in docs}
+
+
+def test_line_dedup_short(spark):
+    r = random.Random(10)
+    lines = ["".join(r.choice("abé .") for _ in range(n)) for n in range(18) for _ in range(6)]
+    for x in list(lines):
+        i = r.randrange(len(x) + 1)
+        lines += [x[:i] + x[i + 1 :], x[:i] + "z" + x[i:], x[:i] + "y" + x[i + 1 :]]
+    texts = ["\n".join(r.choice(lines) for _ in range(r.randint(0, 9))) for _ in range(60)] + ["Share this\nx\n", "Share this\n\n \ny", "share this\n\u00a0\n\u00a0", "\n", None]
+    got = by_id(line_deduplicated(frame(spark, texts)), "text")
+    want = kept_of_all_lines(list(enumerate(texts)))
+    assert {i: x[0] for i, x in got.items()} == want
+    assert want[len(texts) - 4] == "\n " and sum(len(t or "") for t in texts) > sum(len(t or "") for t in want.values())
+
+
 def test_mixing(spark, sf):
     df, docs = documents(spark, sf)
     out = mixed(df, copy_col="copy")

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from . import bytesnp as B
 from . import common as C
 
-#: Lines of fewer characters (without surrounding white space) are never dropped.
-MIN_CHARS = 16
+#: Lines of fewer characters (without surrounding white space) are never dropped: only blank ones.
+MIN_CHARS = 1
 _BASE = int(B.seeded(1, 21)[0]) | 1
 _GOLD = B.U(0x9E3779B97F4A7C15)
 
