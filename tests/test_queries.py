@@ -64,3 +64,25 @@ def test_captures(spark, tmp_path):
     for n, body in (("b.json", b"{ not"), ("a.json", b'{"messages":[]}'), ("c.txt", b"x")):
         (tmp_path / n).write_bytes(body)
     assert [bytes(r.body) for r in captures(spark, str(tmp_path)).orderBy("seq").collect()] == [b'{"messages":[]}', b"{ not"]
+
+
+def documents(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_containment_has_documents_of_all_sizes(spark, tmp_path):
+    texts = ["\n".join("é" * n for n in sizes) for sizes in ([10, 200, 199, 500], [1, 1000, 3, 250] * 7, [300, 0, 201])]
+    rows = [(i, t, "en", "a", None if i == 2 else len(t)) for i, t in enumerate(texts)]
+    want = []
+    for i, t in enumerate(texts):
+        spans, at = [], 0
+        for line in t.split("\n"):
+            spans.append((at, at + len(line)))
+            at += len(line) + 1
+        for cell in {a // 1000 for a, _ in spans}:
+            inside = [x for x in spans if x[0] // 1000 == cell]
+            oa, ob = min(a for a, _ in inside), max(b for _, b in inside)
+            want += [(i, a, b, cell) for a, b in spans if b - a >= 200 and oa <= a and b <= ob]
+    got = sorted(tuple(r) for r in QUERIES["payload_containment"](spark, documents(spark, tmp_path, rows)).select("doc_id", "a", "b", "cell").collect())
+    assert got == sorted(want) and {i for i, *_ in got} == {0, 1, 2}

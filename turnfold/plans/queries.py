@@ -208,7 +208,7 @@ def missing_blocks(spark, sf):
 
 def payload_containment(spark, sf):
     """Long lines inside documents' paragraphs: an interval join within each document."""
-    d = table(spark, sf, "documents").filter("n_chars <= 6000").select("doc_id", F.split("text", "\n").alias("lines"))
+    d = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
     lines = d.select("doc_id", F.posexplode("lines").alias("pos", "line")).withColumn("n", F.length("line"))
     w = Window.partitionBy("doc_id").orderBy("pos")
     lines = lines.withColumn("end", F.sum(F.col("n") + 1).over(w)).withColumn("start", F.col("end") - F.col("n") - 1)
