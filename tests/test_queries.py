@@ -86,3 +86,17 @@ def test_containment_has_documents_of_all_sizes(spark, tmp_path):
             want += [(i, a, b, cell) for a, b in spans if b - a >= 200 and oa <= a and b <= ob]
     got = sorted(tuple(r) for r in QUERIES["payload_containment"](spark, documents(spark, tmp_path, rows)).select("doc_id", "a", "b", "cell").collect())
     assert got == sorted(want) and {i for i, *_ in got} == {0, 1, 2}
+
+
+def test_short_documents_are_requests(spark, tmp_path):
+    texts = [None, "", "short", "s" * 500, "", "t" * 501, "long words " * 200, "x", "short"] + ["w" * 5000] * 4
+    folder = documents(spark, tmp_path, [(i, t, "en", "a", None if i == 3 or t is None else len(t)) for i, t in enumerate(texts)])
+    rows = {r.seq: r for r in QUERIES["structural_split"](spark, folder).collect()}
+    assert sorted(rows) == list(range(len(texts)))
+    assert all((r.reason == "too_small") == (r.body_len < 1024) for r in rows.values())
+    assert all(rows[i].reason == "too_small" for i in (0, 1, 2, 4, 7, 8)) and rows[6].reason is None and all(r.identical for r in rows.values())
+    spans = QUERIES["nested_payload_split"](spark, folder).filter("span >= 0").collect()
+    assert {r.seq for r in spans} >= {i for i in range(len(texts)) if i % 4}
+    frames = QUERIES["zstd_frames"](spark, folder).collect()
+    assert {r.peer: r.plain for r in frames} == {r.peer: sum(x.wire_frames for x in rows.values() if x.peer == r.peer) for r in frames}
+    assert sum(r.plain for r in frames) == sum(r.wire_frames for r in rows.values())
