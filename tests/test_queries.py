@@ -100,3 +100,17 @@ def test_short_documents_are_requests(spark, tmp_path):
     frames = QUERIES["zstd_frames"](spark, folder).collect()
     assert {r.peer: r.plain for r in frames} == {r.peer: sum(x.wire_frames for x in rows.values() if x.peer == r.peer) for r in frames}
     assert sum(r.plain for r in frames) == sum(r.wire_frames for r in rows.values())
+
+
+def test_presence_is_of_earlier_conversations(spark, tmp_path):
+    long = {k: f"{k} " * 600 for k in "abcd"}
+    talks = {1: "ab", 2: "c", 3: "bad", 4: "d", 5: "cc", 6: ["b" * 200]}  # the last one is never split
+    rows = [(c, t, "user", long.get(k, k)) for c, said in talks.items() for t, k in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.known for r in QUERIES["presence_probe"](spark, str(tmp_path)).collect()}
+    seen, want = {}, {}
+    for c, said in sorted(talks.items()):
+        for k in said:
+            if seen.setdefault(k, c) != c:
+                want[c] = want.get(c, 0) + 1
+    assert got == want == {3: 2, 4: 1, 5: 2}

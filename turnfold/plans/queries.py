@@ -122,10 +122,12 @@ def replay_totals(spark, sf):
 
 
 def presence_probe(spark, sf):
-    """References that an earlier conversation's push answers: a semi-join."""
-    m = R.messages(_talk(spark, sf)).filter("big")
-    half = m.filter("conv_id % 2 = 0").select("digest").distinct()
-    return m.join(half, "digest", "left_semi").groupBy("conv_id").agg(F.count("*").alias("known"))
+    """References that an earlier conversation's push answers: a join to the first uses of all conversations.
+    Messages of a conversation that is never split are no references."""
+    m = R.messages(_talk(spark, sf))
+    first = R.first_use(m).select("digest", F.col("first.conv_id").alias("pushed_by"))
+    known = m.filter("big and cut is not null").join(first, "digest").filter("pushed_by < conv_id")
+    return known.groupBy("conv_id").agg(F.count("*").alias("known"))
 
 
 def whole_doc_dedup(spark, sf):
