@@ -1,7 +1,11 @@
+from collections import Counter
+
 import duckdb
 import pytest
 
 from turnfold.operators import replay
+from turnfold.operators.splitting import RAW, digest
+from turnfold.operators.store import Bloom
 from turnfold.operators.turns import buckets
 from turnfold.plans.registry import ORACLE_SQL, QUERIES
 from turnfold.sources.tables import captures, table
@@ -114,3 +118,16 @@ def test_presence_is_of_earlier_conversations(spark, tmp_path):
             if seen.setdefault(k, c) != c:
                 want[c] = want.get(c, 0) + 1
     assert got == want == {3: 2, 4: 1, 5: 2}
+
+
+def test_bloom_is_of_the_documents(spark, tmp_path):
+    texts = [None if i == 7 else f"text {i // 3}" for i in range(3000)]
+    folder = documents(spark, tmp_path, [(i, t, "en", "a", None) for i, t in enumerate(texts)])
+    bloom, member = Bloom(1024), {t or "" for t in texts[::2]}
+    for t in member:
+        bloom.add(digest(RAW, t.encode()))
+    want = Counter((t in member, digest(RAW, t.encode()) in bloom) for t in (x or "" for x in texts))
+    assert {(r.member, r.found): r.n for r in QUERIES["bloom_membership"](spark, folder).collect()} == want
+    rows = QUERIES["bloom_membership"](spark, documents(spark, tmp_path / "more", [(i, f"t{i}", "en", "a", None) for i in range(4000)])).collect()
+    n = {(r.member, r.found): r.n for r in rows}
+    assert n[True, True] == 2000 and (True, False) not in n and n.get((False, True), 0) < 60
