@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 22
 
 
+#: Up to so many rows of two or three numbers are broadcast.
+LIGHT_ROWS = 50_000
+#: Rows of a file of a table of a known number of narrow rows.
+FILE_ROWS = 50_000
 #: Rows of an Arrow batch, at most: texts are long, and a worker holds a batch or two.
 BATCH_ROWS = 1000
 
@@ -29,23 +33,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share; a local one only in local mode, where the session names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.gettempdir()}/turnfold-checkpoint"
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/turnfold"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: `df` as a Parquet table in the shared folder, which survives lost executors."""
+#: Tables written by this process and not yet deleted.
+_TABLES: list[str] = []
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cuts the lineage: `df` as a Parquet table in the shared folder, which survives lost executors.
+
+    `rows`, where a bound is known, lets tables of few rows have few files and few last tasks.
+    """
     spark = df.sparkSession
     small_batches(spark)
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(4, -(-rows // FILE_ROWS)))
     df.write.parquet(at)
+    _TABLES.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def delete_tables(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes the tables written so far but the first `keep`: for callers that have consumed all that reads them."""
+    for at in _TABLES[keep:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _TABLES[keep:]
+
+
+def light(df: DataFrame, rows: int) -> DataFrame:
+    """`df` to broadcast if its counted `rows` are at most LIGHT_ROWS; as it is, to shuffle, if more."""
+    return F.broadcast(df) if rows <= LIGHT_ROWS else df
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of `df` has, in any case."""
     taken = {c.lower() for c in df.columns}
