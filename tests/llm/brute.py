@@ -114,6 +114,14 @@ def distance(a, b):
     return row[-1]
 
 
+def within_one(a, b):
+    """Whether two lines are at an edit distance of 1 at most, by what follows their common beginning."""
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+
 def crc(ids):
     import numpy as np
 

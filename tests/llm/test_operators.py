@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnfold.llm import bytesnp as B
 from turnfold.llm import common as C
-from turnfold.llm import near_dedup, queries, sentencepiece_viterbi, token_files
+from turnfold.llm import line_dedup, near_dedup, queries, sentencepiece_viterbi, token_files
 from turnfold.llm.imatch import fingerprints
 from turnfold.llm.line_dedup import MIN_CHARS, line_deduplicated
 from turnfold.llm.mixing import mixed
@@ -186,6 +186,40 @@ def test_near_dedup(spark, sf):
     assert [x.component_id for x in rows] == [4, 4, 4]
 
 
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    a, c = "the one text of a group of copies " * 4, " ".join(f"c{i}" for i in range(90))
+    b, near = " ".join(f"b{i}" for i in range(60)), c + " d"
+    rows = [(1, a), (5, a), (5, b), (7, c), (None, c), (None, "unlike all " + " ".join(f"x{i}" for i in range(40))), (9, near), (1, a), (None, None), (None, None), (3, "")]
+    df = spark.createDataFrame([(i, t, "kept") for i, t in rows], "doc_id long, text string, _row_key string")
+    got = near_deduplicated(df, 2)
+    assert got.columns == df.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [(1, a), (5, b), (7, c), rows[5], (None, None), (None, None), (3, "")]
+    assert sorted(map(tuple, got.select("doc_id", "text").collect()), key=key) == sorted(want, key=key)
+    only = spark.createDataFrame([(None, a, "x"), (None, a, "x"), (None, b, "x")], df.schema)
+    assert sorted(r.text for r in near_deduplicated(only, 2).collect()) == sorted([a, b])
+
+
+def test_set_maps_never_rule_out_a_link(spark):
+    r = np.random.default_rng(1)
+    rows = []
+    for k in range(60):
+        n = int(r.integers(1, 3000))
+        a = r.integers(0, 2**63, n, dtype=np.uint64)
+        b = a.copy()
+        some = r.random(n) < r.random() * 0.25
+        b[some] = r.integers(0, 2**63, int(some.sum()), dtype=np.uint64)
+        x = near_dedup.set_maps(np.concatenate((np.sort(a), np.sort(b))), np.array([n, n]))
+        fold = np.bitwise_or.reduce(x.reshape(2, -1, near_dedup.FOLDED), axis=1)
+        on, fon = np.bitwise_count(x).sum(axis=1), np.bitwise_count(fold).sum(axis=1)
+        c = len(np.intersect1d(a, b))
+        rows.append((n, n, x[0].view(np.int64).tolist(), x[1].view(np.int64).tolist(), *map(int, (*on, *fon)), *fold[0].view(np.int64).tolist(), *fold[1].view(np.int64).tolist(), 100 * c >= 80 * (2 * n - c)))
+    names = ["n", "xn", "map", "xmap", "on", "xon", "fon", "xfon", *near_dedup.FOLDS, *(f"x{f}" for f in near_dedup.FOLDS), "linked"]
+    got = spark.createDataFrame(rows, names).select("n", "linked", near_dedup._reachable(80).alias("may")).collect()
+    assert all(x.may for x in got if x.linked) and any(x.linked for x in got)
+    assert not all(x.may for x in got if not x.linked and x.n < 1000)
+
+
 def test_sketches_fill_and_estimate():
     r = np.random.default_rng(0)
     a = r.integers(0, 2**63, 900, dtype=np.uint64)
@@ -247,6 +281,50 @@ def test_line_dedup_short(spark):
     assert want[len(texts) - 4] == "\n " and sum(len(t or "") for t in texts) > sum(len(t or "") for t in want.values())
 
 
+def test_line_dedup_whole_table(spark, sf):
+    docs = [(i, t) for i, t in documents(spark, sf)[1]]
+    r = random.Random(3)
+    huge = "".join(r.choice("abcdef ") for _ in range(1_000_000))
+    docs += [(10_001, huge), (10_002, "x\n" + huge[:500_000] + "z" + huge[500_000:]), (10_003, huge), (None, huge[1:])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = by_id(line_deduplicated(df, ("n_lines", "n_dropped")), "text", "n_lines", "n_dropped")
+    first = {}
+    for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
+        for n, line in enumerate((t or "").split("\n")):
+            if line.strip():
+                first.setdefault(line, ((i is not None, i or 0), n))
+    shapes = {}
+    for x in first:  # lines at distance 1 share a half and the lesser length, by either rule of halving
+        for m in (len(x), len(x) - 1):
+            for side in (x[: m // 2], x[len(x) - m // 2 :]):
+                shapes.setdefault((m, side), []).append(x)
+    near = {x for xs in shapes.values() for x in xs for y in xs if first[y] < first[x] and x != y and brute.within_one(x, y)}
+    assert near >= {huge}  # null ids come first: one letter less
+    place = lambda i, n: ((i is not None, i or 0), n)
+    for i, t in docs:
+        keep = [x for n, x in enumerate((t or "").split("\n")) if not x.strip() or (first[x] == place(i, n) and x not in near)]
+        assert got[i][0] == "\n".join(keep), i
+        assert got[i][1] - got[i][2] == len(keep)
+    assert got[10_002][2] >= 1  # a line two edits from the null row's and one from a line that goes itself
+
+
+def test_line_dedup_clashing_names(spark):
+    df = spark.createDataFrame([(1, "same line\nsame line", 42, "a"), (2, "other", 43, "b")], "doc_id long, text string, _n_dropped int, N_LINES string")
+    assert sorted(map(tuple, line_deduplicated(df).collect())) == [(1, "same line", 42, "a"), (2, "other", 43, "b")]
+    out = line_deduplicated(df, ("n_lines", "n_dropped"))
+    assert out.columns == ["doc_id", "text", "_n_dropped", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(1, "same line", 42, 2, 1), (2, "other", 43, 1, 0)]
+
+
+def test_line_dedup_hot_lines(spark, monkeypatch):
+    texts = ["\n".join(["the hot line of all", f"own line number {i * 7919}", "warm" if i % 5 == 0 else f"cold {i * 104729}"]) for i in range(60)]
+    want = kept_of_all_lines(list(enumerate(texts)))
+    monkeypatch.setattr(line_dedup, "HOT", 30)
+    for limit in (50_000, 0):
+        monkeypatch.setattr(C, "LIGHT_ROWS", limit)
+        assert {i: x[0] for i, x in by_id(line_deduplicated(frame(spark, texts)), "text").items()} == want
+
+
 def test_mixing(spark, sf):
     df, docs = documents(spark, sf)
     out = mixed(df, copy_col="copy")

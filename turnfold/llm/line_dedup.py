@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesnp as B
@@ -20,6 +20,10 @@ from . import common as C
 
 #: Lines of fewer characters (without surrounding white space) are never dropped: only blank ones.
 MIN_CHARS = 1
+#: Keys in an Arrow batch, and characters of candidate lines that a task makes keys of.
+KEY_ROWS, TASK_CHARS = 1 << 17, 1 << 19
+#: Occurrences from which on a line's are not joined in one place, and shares that they are dealt to.
+HOT, SALTS = 1000, 64
 _BASE = int(B.seeded(1, 21)[0]) | 1
 _GOLD = B.U(0x9E3779B97F4A7C15)
 
@@ -129,19 +133,87 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """v, longer, h, first of every key of `lines` (h, first, line_text)."""
+    """v, p of every key of `lines` (id, line_text): p is 4 times the id plus the kind of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(2).to_pylist()):
+            held, n = [], 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 placed, plain, own = variants(text)
-                v = np.concatenate((placed, plain, [own]))
-                role = np.repeat(np.array([0, 1, 2], np.int8), [len(placed), len(plain), 1])
-                row = pa.array(np.full(len(v), i))
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(role), batch.column(0).take(row), batch.column(1).take(row)], names=["v", "role", "h", "first"])
+                held += [(placed, 4 * i), (plain, 4 * i + 1), (np.array([own]), 4 * i + 2)]
+                n += 2 * len(placed) + 1
+                if n > KEY_ROWS:
+                    yield from _sliced(held)
+                    held, n = [], 0
+            yield from _sliced(held)
 
-    first = lines.schema["first"].dataType.simpleString()
-    return lines.select("h", "first", "line_text").mapInArrow(run, f"v long, role tinyint, h long, first {first}")
+    return lines.select("id", "line_text").mapInArrow(run, "v long, p long")
+
+
+def _sliced(held: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+    if held:
+        v = np.concatenate([x for x, _ in held])
+        p = np.repeat(np.array([y for _, y in held], np.int64), [len(x) for x, _ in held])
+        for k in range(0, len(v), KEY_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(v[k : k + KEY_ROWS]), pa.array(p[k : k + KEY_ROWS])], names=["v", "p"])
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether an edit distance is 1 at most, in time linear in the lines."""
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    unequal = np.flatnonzero(x[: len(y)] != y[: len(x)])
+    i = int(unequal[0]) if len(unequal) else min(len(a), len(b))
+    return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
+
+
+def _confirmed(pairs: DataFrame) -> DataFrame:
+    """h of the pairs (h, one, two) of lines that an edit makes equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = [one_edit(a.as_py(), b.as_py()) for a, b in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(on, pa.bool_()))], names=["h"])
+
+    return pairs.select("h", "one", "two").mapInArrow(run, "h long")
+
+
+def _near(docs: DataFrame, occ: DataFrame, firsts: DataFrame) -> DataFrame:
+    """h of the lines that lie at an edit distance of 1 from a line that first occurs earlier."""
+    keys = occ.select("h", F.explode("keys").alias("key"))
+    shared = C.written(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a != b").select("key"), "shared")
+    some = C.with_maybe(keys, "key", shared, "key", "_maybe").filter("_maybe").drop("_maybe").join(shared, "key", "left_semi")
+    # numbered in the order of first occurrence: a key of the join is then two numbers wide
+    some = some.select("h").distinct().join(firsts, "h").select("h", "first").orderBy("first")
+    some = C.written(some.select("h", "first", F.monotonically_increasing_id().alias("id")), "candidates")
+    own = C.with_maybe(docs.select("_k", "text"), "_k", some.select(F.col("first.k").alias("k")), "k", "_maybe").filter("_maybe")
+    text = C.written(_texts(own).join(some.select("h", "id"), "h").dropDuplicates(["h"]).select("id", "h", "line_text"), "candidate-lines")
+    chars = text.agg(F.sum(F.length("line_text"))).first()[0] or 0
+    v = _neighbourhood(text.repartition(max(1, -(-chars // TASK_CHARS)), "id"))
+    kind, at = F.col("p") % 4, F.shiftright("p", 2)
+    per = Window.partitionBy("v")
+    earliest = [F.min(F.when(kind == k, at)).over(per).alias(f"e{k}") for k in range(3)]
+    # of equal length: the same place deleted. Else the longer line's deletion is the shorter line itself
+    other = F.when(kind == 0, F.col("e0")).when(kind == 1, F.col("e2")).otherwise(F.col("e1"))
+    pairs = v.select("p", *earliest).select(at.alias("id"), other.alias("other")).filter("other < id").groupBy("id").agg(F.min("other").alias("other"))
+    a, b = text.select("id", "h", F.col("line_text").alias("one")), text.select(F.col("id").alias("other"), F.col("line_text").alias("two"))
+    return C.written(_confirmed(pairs.join(a, "id").join(b, "other")), "near-lines")
+
+
+def _found(occ: DataFrame, marked: DataFrame) -> DataFrame:
+    """`occ` joined to `marked` (h, first, all, times) on h; lines of many occurrences are broadcast or, if they are many, salted."""
+    hot = C.written(marked.filter(F.col("times") > HOT), "hot-lines")
+    n, cold = hot.count(), marked.filter(F.col("times") <= HOT).drop("times")
+    if not n:
+        return occ.join(cold, "h")
+    split = C.with_maybe(occ, "h", hot, "h", "_maybe")
+    some = split.filter("_maybe").drop("_maybe").withColumn("_salt", F.pmod(F.xxhash64("k", "line"), F.lit(SALTS)))
+    on = hot.drop("times")
+    if n <= C.LIGHT_ROWS:
+        some = some.drop("_salt").join(F.broadcast(on), "h", "left")
+    else:
+        some = some.join(on.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "_salt"], "left").drop("_salt")
+    rest = split.filter(~F.col("_maybe")).drop("_maybe").unionByName(some.filter("first is null").select(occ.columns))
+    return some.filter("first is not null").unionByName(rest.join(cold, "h"))
 
 
 def dropped_lines(docs: DataFrame, exact_only: bool = False) -> DataFrame:
@@ -153,53 +225,36 @@ def dropped_lines(docs: DataFrame, exact_only: bool = False) -> DataFrame:
     occ = C.written(_occurrences(docs), "lines")
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("k"), F.col("line"))
     firsts = C.written(occ.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times")), "firsts")
-    near = None
+    marked = firsts.filter("times > 1").withColumn("all", F.lit(False))
     if not exact_only:
-        keys = occ.select("h", F.explode("keys").alias("key"))
-        shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a != b").select("key")
-        some = C.written(keys.join(shared, "key", "left_semi").select("h").distinct().join(firsts, "h").select("h", "first"), "candidates")
-        flag = "_maybe"
-        own = docs.select("_k", "text")
-        own = C.with_maybe(own, "_k", some.select(F.col("first.k").alias("k")), "k", flag).filter(flag)
-        text = C.written(_texts(own).join(some, "h").dropDuplicates(["h"]).select("h", "first", "line_text"), "candidate-lines")
-        v = _neighbourhood(text)
-        least = lambda role: F.min(F.when(F.col("role") == role, F.struct("first", "h")))
-        best = v.withColumn("longer", F.col("role") > 0).groupBy("v", "longer").agg(least(0).alias("e0"), least(1).alias("e1"), least(2).alias("e2"), F.count("*").alias("c")).filter("c > 1")
-        met = v.withColumn("longer", F.col("role") > 0).join(best, ["v", "longer"])
-        # the longer line meets the shorter one itself, and the other way round
-        other = F.when(F.col("role") == 0, F.col("e0")).when(F.col("role") == 1, F.col("e2")).otherwise(F.col("e1"))
-        pairs = met.withColumn("o", other).filter(F.col("o.first") < F.col("first")).groupBy("h").agg(F.min("o").alias("o")).select("h", F.col("o.h").alias("oh"))
-        a, b = text.select("h", F.col("line_text").alias("one")), text.select(F.col("h").alias("oh"), F.col("line_text").alias("two"))
-        near = C.written(pairs.join(a, "h").join(b, "oh").filter(F.levenshtein("one", "two", 1).between(0, 1)).select("h"), "near-lines")
-    marked = firsts.filter("times > 1").select("h", "first").withColumn("all", F.lit(False))
-    if near is not None:
-        marked = marked.join(near, "h", "left_anti").union(near.join(firsts, "h").select("h", "first", F.lit(True)))
-    hit = occ.select("k", "doc_id", "line", "h").join(marked, "h").filter(F.col("all") | (place != F.col("first")))
+        near = _near(docs, occ, firsts)
+        marked = marked.join(near, "h", "left_anti").unionByName(near.join(firsts, "h").withColumn("all", F.lit(True)))
+    hit = _found(occ.select("h", "k", "doc_id", "line"), C.written(marked, "marked")).filter(F.col("all") | (place != F.col("first")))
     return hit.groupBy("k").agg(F.array_sort(F.collect_set("line")).alias("drops"))
 
 
-def line_deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
+def line_deduplicated(docs: DataFrame, counts: tuple[str, str] | None = None) -> DataFrame:
     """`docs`, all rows and columns, with the repeated and nearly repeated lines cut out of `text`.
 
-    n_chars, if there is such a column, follows the new text. With `counts`, n_lines and n_dropped
-    are added. Null texts stay null, empty ones empty; a text that loses all lines is empty. A row
+    n_chars, if there is such a column, follows the new text. `counts` names two columns that are
+    added: the lines of the text as it was, and how many of them were dropped; columns of these names
+    are replaced. Null texts stay null, empty ones empty; a text that loses all lines is empty. A row
     that repeats another (same id and text) loses the lines that the other keeps or loses: both
     count as one occurrence. Empty tables stay empty.
     """
-    k, flag = C.free_name(docs, "_k"), C.free_name(docs, "_maybe")
-    if k != "_k":
-        return line_deduplicated(docs.withColumnRenamed("_k", k), counts).withColumnRenamed(k, "_k")
-    keyed = docs.withColumn("_k", C.row_key(docs, "doc_id", "text"))
-    drops = C.written(dropped_lines(keyed), "drops").withColumnRenamed("k", "_k")
+    k, flag, cut, all_ = (C.free_name(docs, x) for x in ("_row", "_maybe", "_cut", "_all"))
+    keyed = docs.withColumn(k, C.row_key(docs, "doc_id", "text"))
+    drops = C.written(dropped_lines(keyed.select(F.col(k).alias("_k"), "doc_id", "text")), "drops").withColumnRenamed("k", k)
     drops = drops.withColumnRenamed("drops", gone := C.free_name(docs, "_drops"))
-    split = C.with_maybe(keyed, "_k", drops, "_k", flag)
-    hit = split.filter(flag).join(drops, "_k", "left")
+    split = C.with_maybe(keyed, k, drops, k, flag)
+    hit = split.filter(flag).join(drops, k, "left")
     lines = F.split("text", "\n")
     rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
-    hit = hit.withColumn("_n_dropped", F.coalesce(F.size(gone), F.lit(0))).withColumn("_n_lines", F.size(lines))
-    hit = hit.withColumn("text", F.when(F.col("_n_dropped") > 0, rest).otherwise(F.col("text"))).drop(gone)
-    out = split.filter(~F.col(flag)).withColumns({"_n_dropped": F.lit(0), "_n_lines": F.size(lines)}).unionByName(hit)
+    hit = hit.withColumn(cut, F.coalesce(F.size(gone), F.lit(0))).withColumn(all_, F.size(lines))
+    hit = hit.withColumn("text", F.when(F.col(cut) > 0, rest).otherwise(F.col("text"))).drop(gone)
+    out = split.filter(~F.col(flag)).withColumns({cut: F.lit(0), all_: F.size(lines)}).unionByName(hit)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    extra = [F.greatest(F.col("_n_lines"), F.lit(0)).alias("n_lines"), F.col("_n_dropped").alias("n_dropped")] if counts else []
-    return out.select(*docs.columns, *extra)
+        out = out.withColumn("n_chars", F.when(F.col(cut) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    extra = [F.greatest(F.col(all_), F.lit(0)).alias(counts[0]), F.col(cut).alias(counts[1])] if counts else []
+    taken = {c.lower() for c in counts or ()}
+    return out.select(*[c for c in docs.columns if c.lower() not in taken], *extra)

@@ -56,7 +56,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_deduplicated(_documents(spark, sf_dir), counts=True)
+    return line_deduplicated(_documents(spark, sf_dir), counts=("n_lines", "n_dropped"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
