@@ -23,8 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; one that had words and loses all of them goes."""
-    out = line_deduplicated(docs, counts=True)
-    return out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+    counts = C.free_name(docs, "n_lines"), C.free_name(docs, "n_dropped")
+    out = line_deduplicated(docs, counts)
+    return out.filter((F.col(counts[1]) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
