@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import basis_points, human
 
+#: Exported name and meaning of each counter.
+EXPORTED = {
+    "requests": ("requests_total", "Requests handled"), "split_requests": ("split_requests_total", "Requests that went as a program"), "passthrough": ("passthrough_requests_total", "Requests that went whole"),
+    "body_bytes": ("body_bytes_total", "Bytes of request bodies"), "wire_bytes": ("wire_bytes_total", "Bytes sent over the link"), "refs": ("refs_total", "References made"), "refs_hit": ("refs_hit_total", "References that the peer knew"),
+    "blocks_pushed": ("blocks_pushed_total", "Blocks sent to the peer"), "repairs": ("repairs_total", "Requests for which the peer asked again"), "rebuilds": ("rebuilds_total", "Bodies that the peer rebuilt"),
+    "rebuild_failures": ("rebuild_failures_total", "Bodies sent whole after all"), "upstream_errors": ("upstream_errors_total", "Failures of the upstream"), "link_errors": ("link_errors_total", "Failures of the link"),
+    "response_bytes": ("response_bytes_total", "Bytes that came back"), "link_us": ("link_microseconds_total", "Time on the link"), "upstream_us": ("upstream_microseconds_total", "Time at the upstream"), "store_rejected": ("store_rejected_total", "Blocks that the store refused"),
+}
+
 total = lambda c: F.sum(c).cast("long")
 of_split = lambda c: F.sum(F.when(F.col("split"), F.col(c)).otherwise(0)).cast("long")
 
@@ -16,11 +25,20 @@ def counters(turns: DataFrame) -> DataFrame:
     flag = lambda c: F.sum(c.cast("long")).cast("long")
     return turns.agg(
         F.count("*").alias("requests"), flag(F.col("split")).alias("split_requests"), flag(~F.col("split")).alias("passthrough"), total("body").alias("body_bytes"), total("wire").alias("wire_bytes"),
-        of_split("refs").alias("refs"), of_split("refs_hit").alias("refs_hit"), of_split("pushed").alias("blocks_pushed"), total("repairs").alias("repairs"), total("response_bytes").alias("response_bytes"),
-        F.floor(F.sum("elapsed_us") / 1000).cast("long").alias("elapsed_ms"),
+        of_split("refs").alias("refs"), of_split("refs_hit").alias("refs_hit"), of_split("pushed").alias("blocks_pushed"), total("repairs").alias("repairs"),
+        F.count_if(F.col("outcome") == "rebuilt").alias("rebuilds"), F.count_if(F.col("outcome") == "rebuild failed").alias("rebuild_failures"),
+        F.count_if("upstream_failed").alias("upstream_errors"), F.count_if("link_failed").alias("link_errors"), total("response_bytes").alias("response_bytes"),
+        total("link_us").alias("link_us"), total("upstream_us").alias("upstream_us"), total("rejected").alias("store_rejected"),
     )
 
 
+def snapshot(turns: DataFrame) -> DataFrame:
+    """The counters with times in whole milliseconds."""
+    s = counters(turns)
+    per = lambda c: F.floor(F.col(c) / 1000).cast("long")
+    return s.withColumns({"link_ms": per("link_us"), "upstream_ms": per("upstream_us")}).drop("link_us", "upstream_us")
+
+
 def buckets(turns: DataFrame, key: Column) -> DataFrame:
     """Sums by key, most saved first. Savings are of the sums, never under 0."""
     out = turns.groupBy(key.alias("key")).agg(F.count("*").alias("requests"), F.sum(F.col("split").cast("long")).alias("split_requests"), total("body").alias("body_bytes"), total("wire").alias("wire_bytes"), total("refs").alias("refs"), total("refs_hit").alias("refs_hit"), total("pushed").alias("pushed"), total("repairs").alias("repairs"))
@@ -43,7 +61,7 @@ def summary(turns: DataFrame) -> DataFrame:
 def prometheus(turns: DataFrame) -> DataFrame:
     """HELP, TYPE and value lines of each counter, numbered."""
     s = counters(turns)
-    lines = [x for c in s.columns for x in (F.lit(f"# HELP turnfold_{c} {c.replace('_', ' ')}"), F.lit(f"# TYPE turnfold_{c} counter"), F.concat(F.lit(f"turnfold_{c} "), F.col(c).cast("string")))]
+    lines = [x for c, (name, said) in EXPORTED.items() for x in (F.lit(f"# HELP turnfold_{name} {said}"), F.lit(f"# TYPE turnfold_{name} counter"), F.concat(F.lit(f"turnfold_{name} "), F.col(c).cast("string")))]
     return s.select(F.posexplode(F.array(*lines)).alias("pos", "line"))
 
 

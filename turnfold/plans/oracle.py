@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries; written request by request, where the engine uses running sums."""
 
+from ..operators.turns import EXPORTED
 from ..sources.tables import LEDGER, PATHS
 
 _PATHS = "[" + ", ".join(f"'{p}'" for p in PATHS) + "]"
@@ -53,9 +54,10 @@ FROM (SELECT {key} AS key, count(*) AS requests, sum(split::INT)::BIGINT AS spli
   sum(refs_hit)::BIGINT AS refs_hit, sum(pushed)::BIGINT AS pushed, sum(repairs)::BIGINT AS repairs FROM {src} GROUP BY {key}) b"""
 _COUNTERS = """SELECT count(*) AS requests, sum(split::INT)::BIGINT AS split_requests, sum((NOT split)::INT)::BIGINT AS passthrough, sum(body)::BIGINT AS body_bytes, sum(wire)::BIGINT AS wire_bytes,
   sum(CASE WHEN split THEN refs ELSE 0 END)::BIGINT AS refs, sum(CASE WHEN split THEN refs_hit ELSE 0 END)::BIGINT AS refs_hit, sum(CASE WHEN split THEN pushed ELSE 0 END)::BIGINT AS blocks_pushed,
-  sum(repairs)::BIGINT AS repairs, sum(response_bytes)::BIGINT AS response_bytes, (sum(elapsed_us) // 1000)::BIGINT AS elapsed_ms FROM t"""
-_COUNTER_NAMES = ("requests", "split_requests", "passthrough", "body_bytes", "wire_bytes", "refs", "refs_hit", "blocks_pushed", "repairs", "response_bytes", "elapsed_ms")
-_LINES = ", ".join(f"'# HELP turnfold_{c} {c.replace('_', ' ')}', '# TYPE turnfold_{c} counter', 'turnfold_{c} ' || {c}" for c in _COUNTER_NAMES)
+  sum(repairs)::BIGINT AS repairs, count(*) FILTER (outcome = 'rebuilt') AS rebuilds, count(*) FILTER (outcome = 'rebuild failed') AS rebuild_failures, count(*) FILTER (upstream_failed) AS upstream_errors,
+  count(*) FILTER (link_failed) AS link_errors, sum(response_bytes)::BIGINT AS response_bytes, sum(link_us)::BIGINT AS link_us, sum(upstream_us)::BIGINT AS upstream_us, sum(rejected)::BIGINT AS store_rejected FROM t"""
+_SNAPSHOT = f"SELECT * EXCLUDE (link_us, upstream_us), link_us // 1000 AS link_ms, upstream_us // 1000 AS upstream_ms FROM ({_COUNTERS}) c"
+_LINES = ", ".join(f"'# HELP turnfold_{n} {said}', '# TYPE turnfold_{n} counter', 'turnfold_{n} ' || {c}" for c, (n, said) in EXPORTED.items())
 _RING = ", r AS (SELECT * FROM t ORDER BY seq DESC LIMIT 200)"
 
 
@@ -90,7 +92,8 @@ ORACLE_SQL = {
         coalesce(sum(body_len) FILTER (split), 0)::BIGINT AS body_split, sum(body_len)::BIGINT AS body_all, sum(inflated::INT)::BIGINT AS inflated FROM st)""",
     "replay_sequential": _M + """ SELECT count(*) AS requests, sum(split::INT)::BIGINT AS split, sum(refs)::BIGINT AS refs, sum(refs_hit)::BIGINT AS refs_hit, coalesce(sum(wire_model) FILTER (split), 0)::BIGINT AS wire_split,
         coalesce(sum(body_len) FILTER (split), 0)::BIGINT AS body_split FROM st""",
-    "presence_probe": _M + " SELECT conv_id, count(*) AS known FROM x WHERE big AND msg IN (SELECT msg FROM x WHERE big AND conv_id % 2 = 0) GROUP BY conv_id",
+    "presence_probe": _M + """, u AS (SELECT msg, min(conv_id) AS pushed_by FROM e WHERE split AND big GROUP BY msg)
+      SELECT x.conv_id, count(*) AS known FROM x JOIN u ON u.msg = x.msg WHERE big AND u.pushed_by < x.conv_id AND x.conv_id IN (SELECT conv_id FROM x WHERE split) GROUP BY x.conv_id""",
     "whole_doc_dedup": "SELECT sha256(text) AS sha, min(doc_id) AS first, count(*) AS copies, max(strlen(text)) AS n_bytes, (sum(strlen(text)) - max(strlen(text)))::BIGINT AS saved FROM documents GROUP BY text",
     "cross_agent_sharing": _M + " SELECT count(*) * 2 AS pushes_apart, count(*) AS pushes_shared, sum(len)::BIGINT AS bytes_saved FROM f",
     "epoch_reset": _M + " SELECT epoch, count(*) AS blocks, sum(len)::BIGINT AS bytes FROM (SELECT DISTINCT conv_id // 100 AS epoch, msg, len FROM x WHERE big) GROUP BY epoch",
@@ -102,13 +105,13 @@ ORACLE_SQL = {
       FROM g LEFT JOIN prog ON prog.seq = g.seq LEFT JOIN blk ON blk.fs = g.seq""",
     "resolve_identity": _M + """ SELECT conv_id, req AS turn, 'ok' AS status, sha256('{"model":"m","messages":[' || string_agg(msg, ',' ORDER BY turn) || ']}') AS sha FROM e WHERE split GROUP BY conv_id, req""",
     "missing_blocks": _M + " SELECT sha256(msg) AS sha, max(len) AS len FROM x WHERE big AND msg NOT IN (SELECT msg FROM x WHERE big AND conv_id % 3 <> 0) GROUP BY msg",
-    "payload_containment": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE n_chars <= 6000),
+    "payload_containment": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
       z AS (SELECT doc_id, length(line) AS n, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT - length(line) - 1 AS a FROM l),
       y AS (SELECT doc_id, n, a, a + n AS b, a // 1000 AS cell FROM z),
       o AS (SELECT doc_id, cell, min(a) AS oa, max(b) AS ob FROM y GROUP BY doc_id, cell)
       SELECT y.doc_id, y.a, y.b, o.cell::BIGINT AS cell FROM y JOIN o ON o.doc_id = y.doc_id AND y.a >= o.oa AND y.b <= o.ob WHERE y.n >= 200""",
     "turn_ledger": _T + " SELECT seq, profile, path, body, wire, greatest(body - wire, 0) AS saved, greatest(body - wire, 0) * 10000 // body AS saved_bp FROM t",
-    "turn_counters": _T + " " + _COUNTERS,
+    "turn_counters": _T + " " + _SNAPSHOT,
     "buckets_by_path": _T + " SELECT key, " + _BUCKET.format(key="path", src="t"),
     "buckets_by_profile": _T + " SELECT key, " + _BUCKET.format(key="profile", src="t"),
     "ring_buckets": _T + _RING + " SELECT key, " + _BUCKET.format(key="path", src="r"),

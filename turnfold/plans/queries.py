@@ -231,7 +231,7 @@ def turn_ledger(spark, sf):
 
 
 def turn_counters(spark, sf):
-    return T.counters(ledger(spark, sf))
+    return T.snapshot(ledger(spark, sf))
 
 
 def buckets_by_path(spark, sf):

@@ -30,27 +30,32 @@ def write_captures(requests: DataFrame, folder: str) -> None:
 
 #: The ledger as SQL that Spark and DuckDB both read; DIV stands for integer division.
 LEDGER = """
-SELECT *, CASE WHEN split THEN CAST(60 + body DIV 10 + pushed * 300 AS BIGINT) ELSE CAST(body + 40 AS BIGINT) END AS wire FROM (
+SELECT *, CASE WHEN split THEN CAST(60 + body DIV 10 + pushed * 300 AS BIGINT) ELSE CAST(body + 40 AS BIGINT) END AS wire,
+  CASE WHEN NOT split THEN 'whole' WHEN seq % 211 = 0 THEN 'rebuild failed' ELSE 'rebuilt' END AS outcome FROM (
 SELECT event_id AS seq, concat('p', CAST(user_id % 5 AS VARCHAR(9))) AS profile,
   CAST(event_id % 8 AS INT) AS path_no,
   200 + (event_id * 7919) % 20000 AS body, event_id % 7 AS refs, least(event_id % 7, (event_id * 3) % 8) AS refs_hit,
   event_id % 7 - least(event_id % 7, (event_id * 3) % 8) AS pushed,
-  CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS repairs, 1000 + (event_id * 131) % 50000 AS elapsed_us, 100 + (event_id * 17) % 3000 AS response_bytes,
+  CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS repairs, 1000 + (event_id * 131) % 50000 AS link_us, 600 + (event_id * 101) % 40000 AS upstream_us, event_id % 307 = 0 AS upstream_failed, event_id % 401 = 0 AS link_failed,
+  CASE WHEN event_id % 503 = 0 THEN 2 ELSE 0 END AS rejected, 100 + (event_id * 17) % 3000 AS response_bytes,
   200 + (event_id * 7919) % 20000 >= 4096 AND event_id % 8 < 6 AS split
 FROM events) t
 """
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, profile, path, body, wire, refs, refs_hit, pushed, repairs, elapsed_us, response_bytes, split: one row a turn."""
+    """seq, profile, path, body, wire, refs, refs_hit, pushed, repairs, link_us, upstream_us, upstream_failed, link_failed,
+    rejected, response_bytes, split, outcome: one row a turn."""
     e = table(spark, sf_dir, "events")
     n, body, refs = F.col("event_id"), 200 + (F.col("event_id") * 7919) % 20000, F.col("event_id") % 7
     path_no, hits = (n % 8).cast("int"), F.least(refs, (n * 3) % 8)
     out = e.select(
         n.alias("seq"), F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("profile"), F.get(F.array(*map(F.lit, PATHS)), path_no).alias("path"),
         body.alias("body"), refs.alias("refs"), hits.alias("refs_hit"), (refs - hits).alias("pushed"), F.when(n % 97 == 0, 1).otherwise(0).cast("long").alias("repairs"),
-        (1000 + (n * 131) % 50000).alias("elapsed_us"), (100 + (n * 17) % 3000).alias("response_bytes"), ((body >= 4096) & (path_no < 6)).alias("split"),
+        (1000 + (n * 131) % 50000).alias("link_us"), (600 + (n * 101) % 40000).alias("upstream_us"), (n % 307 == 0).alias("upstream_failed"), (n % 401 == 0).alias("link_failed"),
+        F.when(n % 503 == 0, 2).otherwise(0).cast("long").alias("rejected"), (100 + (n * 17) % 3000).alias("response_bytes"), ((body >= 4096) & (path_no < 6)).alias("split"),
     )
+    out = out.withColumn("outcome", F.when(~F.col("split"), "whole").when(F.col("seq") % 211 == 0, "rebuild failed").otherwise("rebuilt"))
     return out.withColumn("wire", F.when(F.col("split"), 60 + F.floor(F.col("body") / 10) + F.col("pushed") * 300).otherwise(F.col("body") + 40).cast("long"))
 
 
