@@ -71,6 +71,19 @@ def substrings(docs, n=400):
     return out
 
 
+def term_ids(b):
+    """The 32-bit names of the terms of a text."""
+    import numpy as np
+
+    from turnfold.llm import bytesnp as B
+
+    low = b.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+    out = set()
+    for w in set(re.findall(rb"[0-9a-z\x80-\xff]+", low)):
+        out.add(int(B.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), np.ones(256, bool)).hash[0] >> np.uint64(32)))
+    return out
+
+
 def shingles(text, width=2):
     low = (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
     w = WORD.findall(low)

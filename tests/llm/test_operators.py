@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 from turnfold.llm import bytesnp as B
 from turnfold.llm import common as C
 from turnfold.llm import line_dedup, near_dedup, queries, sentencepiece_viterbi, token_files
-from turnfold.llm.imatch import fingerprints
+from turnfold.llm import imatch
+from turnfold.llm.imatch import below, fingerprints
 from turnfold.llm.line_dedup import MIN_CHARS, line_deduplicated
 from turnfold.llm.mixing import mixed
 from turnfold.llm.near_dedup import near_components, near_deduplicated
 from turnfold.llm.pii import personal_data
 from turnfold.llm.quality_pu import accepted, estimate_prior, quality_scores
-from turnfold.llm.quality_rules import count_text, quality_rules
+from turnfold.llm.quality_rules import PRIOR, RULES, count_text, quality_rules
 from turnfold.llm.substring_dedup import substring_deduplicated
 
 from . import brute
@@ -95,6 +97,27 @@ def test_quality_rules(spark, sf):
     assert count_text("a b c a b c\na b c".encode())[:5] == (9, 9, 0, 0, 9)
 
 
+def test_quality_rules_verdicts(spark, sf):
+    df, docs = documents(spark, sf)
+    group = {r.doc_id: (r.lang, r.source) for r in df.collect()}
+    rows = {}
+    for i, t in docs:
+        n, chars, symbols, dup, repeat = brute.rules(t or "")
+        lines = sum(bool(x.strip(" \t\n\r\x0b\x0c")) for x in (t or "").split("\n"))
+        rows[i] = (n, repeat, {"symbol_ratio": symbols / n, "dup_line_ratio": dup / lines, "repeat_ratio": repeat / n, "mean_word_chars": chars / n} if n else {})
+    at = lambda values, p: sorted(values)[max(0, -(-len(values) * p // 100) - 1)]
+    got = by_id(quality_rules(df), "kept")
+    for i, (n, repeat, m) in rows.items():
+        good = n >= 50 and 100 * repeat <= 50 * n
+        for c, side, slack in RULES if good else ():
+            whole = [x[2][c] for x in rows.values() if x[0]]
+            own = [x[2][c] for j, x in rows.items() if x[0] and group[j] == group[i]]
+            low, high = ((len(own) * at(own, p) + PRIOR * at(whole, p)) / (len(own) + PRIOR) for p in (25, 75))
+            wide = 3 * (high - low) + slack
+            good &= m[c] <= high + wide if side == "high" else m[c] >= low - wide
+        assert got[i] == (good,), i
+
+
 def test_quality_rules_adapt(spark):
     r = random.Random(1)
     text = lambda k: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(r.randint(0, 999)) + ("#" if r.random() < k else "") for _ in range(80))
@@ -157,6 +180,56 @@ def test_fingerprints(spark, sf):
     assert fingerprints(frame(spark, ["a b", "a b", None], [None, 5, 5])).count() == 3
 
 
+def plain_hashes(lex, text):
+    """The subset hashes of a text, subset by subset and term by term."""
+    found = brute.term_ids(text) & set(lex)
+    out = []
+    for s in range(imatch.SUBSETS):
+        seed, rate = int(B.seeded(imatch.SUBSETS, 3)[s]), imatch.RATES[s // imatch.PER_RATE]
+        some = [t for t in sorted(found) if int(B.mix(np.array([t + seed & 2**64 - 1], np.uint64))[0]) < int(rate * 2**64)]
+        total = sum(int(B.mix(np.array([t * 0x9E3779B97F4A7C15 + 1 & 2**64 - 1], np.uint64))[0]) for t in some) & 2**64 - 1
+        out.append(max(1, int(B.mix(np.array([total], np.uint64))[0]) >> 48) if total else 0)
+    return out
+
+
+def plain_likeness(a, b, same):
+    per = []
+    for r in range(len(imatch.RATES)):
+        pairs = [(x, y) for x, y in zip(a[16 * r : 16 * r + 16], b[16 * r : 16 * r + 16], strict=True) if x or y]
+        per.append((sum(x == y for x, y in pairs), len(pairs)))
+    if not any(n for _, n in per):
+        return float(same)
+    full = [e / n for e, n in per if n >= 6]
+    return max(full) if full else sum(e for e, _ in per) / sum(n for _, n in per)
+
+
+def test_fingerprints_equal_plain_ones(spark, sf, monkeypatch):
+    docs = documents(spark, sf)[1][:70] + [(None, "null id"), (900, None), (901, ""), (902, "a b")]
+    monkeypatch.setattr(imatch, "SHARD_BYTES", 9000)
+    got = {r[0]: r for r in fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    df, n = {}, len(docs)
+    for _, t in docs:
+        for x in brute.term_ids((t or "").encode()):
+            df[x] = df.get(x, 0) + 1
+    lex = [t for t, c in df.items() if max(2, imatch.LEAST * n) <= c <= max(2, imatch.MOST * n)]
+    assert len(lex) > 100 and len(got) == n
+    order = sorted(((-1 if i is None else i, t or "") for i, t in docs), reverse=True)
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % n][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        r, h = got[None if i < 0 else i], [plain_hashes(lex, x.encode()) for x in (t, edited, nxt)]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == tuple("".join(f"{x:04x}" for x in y) if any(y) else "t" + hashlib.sha256(z.encode()).hexdigest()[:32] for y, z in zip(h, (t, edited), strict=False))
+        assert (r.near_edited, r.near_next) == (plain_likeness(h[0], h[1], t == edited), plain_likeness(h[0], h[2], t == nxt))
+
+
+def test_bounds(spark):
+    bounds = [-5, 0, 3, 9, 10, 11, 40, 41, 42, 100]
+    for b in (bounds, bounds[:1], []):
+        assert [r.n for r in spark.createDataFrame([(i,) for i in range(-9, 110)], "doc_id long").select(below(b).alias("n")).collect()] == [sum(x < i for x in b) for i in range(-9, 110)]
+
+
 def test_near_dedup(spark, sf):
     df, docs = documents(spark, sf)
     got = by_id(near_components(df, 2), "n_shingles", "component_id", "kept")
@@ -339,6 +412,10 @@ def test_mixing(spark, sf):
     odd = mixed(frame(spark, ODD), {None: 1.0, "a": 40.0})
     assert odd.columns == frame(spark, []).columns and odd.count() > 0
     assert mixed(frame(spark, [])).count() == 0
+    clash = spark.createDataFrame([(i, "t", "s", i, i, i) for i in range(40)], "doc_id long, text string, source string, _mix_source long, _salt_of long, COPY long")
+    out = mixed(clash, {"s": 1.0}, copy_col="copy")
+    assert out.columns == ["doc_id", "text", "source", "_mix_source", "_salt_of", "copy"]
+    assert out.count() > 10 and not out.filter("_mix_source <> doc_id or _salt_of <> doc_id").count()
 
 
 def test_sentencepiece_is_exact(spark, tmp_path):
@@ -401,6 +478,62 @@ def test_words_match_plain_split():
         assert got == [x for i in range(len(c.offs) - 1) for x in brute.WORD.findall(c.text(i))]
 
 
+def pipeline_by_hand(docs):
+    """What lines, near-duplicates and mixture leave of the documents, by plain versions of their contracts."""
+    text = kept_of_all_lines(docs)
+    was = dict(docs)
+    left = [(i, t) for i, t in text.items() if t == was[i] or brute.WORD.search((t or "").encode())]
+    return left, [i for i, *_, kept in brute.near(left, 5) if kept]
+
+
+def test_pipeline_stages_equal_plain_ones(spark, sf):
+    import corpus_pipeline
+
+    df, docs = documents(spark, sf)
+    left, kept = pipeline_by_hand(docs)
+    out = corpus_pipeline.lines(spark, df, sf)
+    assert {r.doc_id: r.text for r in out.collect()} == dict(left)
+    out = C.written(out, "test-lines")
+    near = C.written(corpus_pipeline.near_duplicates(spark, out, sf), "test-near")
+    assert sorted(r.doc_id for r in near.collect()) == sorted(kept)
+    sizes = {}
+    for r in near.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text or "")
+    whole, weight = sum(sizes.values()), sum(x**0.5 for x in sizes.values())
+    want = {}
+    for r in near.collect():
+        rate = sizes[r.source] ** 0.5 * whole / (weight * sizes[r.source])
+        parts, n = max(1, math.ceil(rate / 8)), 0
+        for j in range(1, parts + 1):
+            u = int(hashlib.md5(f"20:{r.doc_id}:{hashlib.md5((r.text or '').encode()).hexdigest()}:{j}".encode()).hexdigest()[:13], 16) / 2**52
+            p = cdf = math.exp(-rate / parts)
+            k = 0
+            while u >= cdf and k < 60:
+                k += 1
+                p *= rate / parts / k
+                cdf += p
+            n += k
+        if n:
+            want[r.doc_id] = n
+    mix = corpus_pipeline.mixture(spark, near, sf)
+    got = {}
+    for r in mix.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == want
+
+
+def test_pipeline_odd_rows(spark, sf):
+    import corpus_pipeline
+
+    for df in (frame(spark, [*ODD, *ODD], [None] * len(ODD) + list(range(len(ODD)))), frame(spark, [])):
+        docs = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = C.written(stage(spark, docs, sf), "test-stage")
+            assert docs.columns == df.columns
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert not out.filter("not roundtrip").count()
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesnp as B
@@ -46,7 +47,7 @@ def _merge(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(ids, kind="stable")
     ids, counts = ids[order], counts[order]
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
-    return ids[first], np.add.reduceat(counts, first) if len(ids) else counts
+    return ids[first], np.add.reduceat(counts, first, dtype=np.int64) if len(ids) else counts
 
 
 def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.ndarray:
@@ -57,12 +58,12 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.nda
     n = docs.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, held = np.zeros(0, np.uint32), np.zeros(0, np.uint32), []
+        ids, counts, held = np.zeros(0, np.uint32), np.zeros(0, np.int64), []
         waiting = 0
 
         def merged():
             got = np.unique(np.concatenate(held), return_counts=True)
-            return _merge(np.concatenate((ids, got[0])), np.concatenate((counts, got[1].astype(np.uint32))))
+            return _merge(np.concatenate((ids, got[0])), np.concatenate((counts, got[1].astype(np.int64))))
 
         for batch in batches:
             for c in B.chunks(batch.column(0)):
@@ -83,10 +84,10 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.nda
     low, high = max(2, least * n), max(2, most * n)
 
     def band(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        ids, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for batch in batches:
             for a, b in zip(batch.column("ids").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                ids, counts = _merge(np.concatenate((ids, np.frombuffer(a, np.uint32))), np.concatenate((counts, np.frombuffer(b, np.uint32))))
+                ids, counts = _merge(np.concatenate((ids, np.frombuffer(a, np.uint32))), np.concatenate((counts, np.frombuffer(b, np.int64))))
         ids = ids[(counts >= low) & (counts <= high)]
         yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], names=["ids"])
 
@@ -141,6 +142,17 @@ def likeness(a: np.ndarray, b: np.ndarray, same: bool) -> float:
     return float((equal[full] / n[full]).max() if full.any() else equal.sum() / n.sum())
 
 
+def below(bounds: list[int]) -> Column:
+    """How many of the sorted bounds lie under doc_id: first by groups, then in one group of them."""
+    if not bounds:
+        return F.lit(0)
+    side = isqrt(len(bounds)) + 1
+    groups = [bounds[i : i + side] for i in range(0, len(bounds), side)]
+    listed = lambda x: f"array({', '.join(f'{b}L' for b in x)})"
+    group = f"greatest(0, size(filter({listed([g[0] for g in groups])}, b -> b < doc_id)) - 1)"
+    return F.expr(f"{group} * {side} + size(filter(get(array({', '.join(map(listed, groups))}), {group}), b -> b < doc_id))")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -153,28 +165,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     lex = spark.sparkContext.broadcast(lexicon(docs))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, min(2000, size // SHARD_BYTES))
-    bounds = (docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit((k + 1) / shards) for k in range(shards)]), 10_000)).first()[0] or [])[: shards - 1]
-    shard = F.expr(f"size(filter(array({', '.join(f'{b}L' for b in sorted(set(bounds)))}), b -> b < doc_id))") if bounds else F.lit(0)
-    put = docs.withColumn("_shard", F.when(F.col("doc_id").isNull(), -1).otherwise(shard))
-    # the last row of each shard: one id, then one text, a shard
-    last = put.groupBy("_shard").agg(F.max("doc_id").alias("doc_id"))
-    last = put.join(F.broadcast(last), put["doc_id"].eqNullSafe(last["doc_id"]) & (put["_shard"] == last["_shard"]), "left_semi").groupBy("_shard").agg(F.max("text").alias("text")).orderBy("_shard").collect()
-    before = spark.sparkContext.broadcast({r[0]: last[k - 1].text.encode() for k, r in enumerate(last)})
+    shards = max(1, size // SHARD_BYTES)
+    cuts = F.percentile_approx("doc_id", F.array(*[F.lit((k + 1) / shards) for k in range(shards)]), max(10_000, 4 * shards))
+    bounds = (docs.agg(cuts).first()[0] or [])[: shards - 1]
+    put = docs.withColumn("_shard", F.when(F.col("doc_id").isNull(), -1).otherwise(below(sorted(set(bounds)))))
+    # the last row of each shard (one id, then one text) goes before the first of the next, and the last of all before the first
+    last = C.written(put.groupBy("_shard").agg(F.max("doc_id").alias("doc_id")), "last", shards)
+    n, order = last.count(), Window.orderBy("_shard")
+    follow = last.select("_shard", F.coalesce(F.lead("_shard").over(order), F.first("_shard").over(order)).alias("_next"))
+    edge = put.join(C.light(last, n), put["doc_id"].eqNullSafe(last["doc_id"]) & (put["_shard"] == last["_shard"]), "left_semi").groupBy("_shard").agg(F.max("text").alias("text"))
+    edge = C.written(edge.join(C.light(follow, n), "_shard").select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("_next").alias("_shard")), "edges")
+    put = put.withColumn("_own", F.lit(True)).unionByName(edge.withColumn("_own", F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher, now, prev, prev_h = Sketcher(lex.value), None, b"", None
+        sketcher, prev = Sketcher(lex.value), b""
         for batch in batches:
             ids, at = batch.column(0), 0
             for c in B.chunks(batch.column(2)):
                 n = len(c.offs) - 1
-                texts = [c.text(i) for i in range(n)]
-                follow = []
-                for k, s in enumerate(batch.column(1).slice(at, n).to_pylist()):
-                    if s != now:
-                        now, prev, prev_h = s, before.value[s], None
-                    follow.append(prev)
-                    prev = texts[k]
+                own, texts, follow = batch.column(1).slice(at, n), [], []
+                for k, emitted in enumerate(own.to_pylist()):
+                    text = c.text(k)
+                    if emitted:
+                        texts.append(text)
+                        follow.append(prev)
+                    prev = text
+                row, n, at = ids.slice(at, n).filter(own), len(texts), at + n
+                if not n:
+                    continue
                 edited = []
                 chars = []
                 for t, f in zip(texts, follow, strict=True):
@@ -186,7 +204,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 h = sketcher.hashes([*texts, *edited, *follow])
                 a, e, f = h[:n], h[n : 2 * n], h[2 * n :]
                 cols = [
-                    ids.slice(at, n),
+                    row,
                     pa.array(chars, pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in edited]),
                     pa.array([printed(x, t) for x, t in zip(a, texts, strict=True)]),
@@ -195,9 +213,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     pa.array([likeness(x, y, t == u) for x, y, t, u in zip(a, f, texts, follow, strict=True)]),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=NAMES)
-                at += n
 
-    put = put.select("doc_id", "_shard", "text").repartition(shards, "_shard").sortWithinPartitions("_shard", "doc_id", "text")
+    put = put.repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "_own", "doc_id", "text").select("doc_id", "_own", "text")
     return put.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
