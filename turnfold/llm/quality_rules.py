@@ -18,8 +18,8 @@ RULES = [("symbol_ratio", "high", 0.05), ("dup_line_ratio", "high", 0.2), ("repe
 WIDTH = 3.0
 #: Relative rank error of a sketch is 1 / ACCURACY.
 ACCURACY = 2000
-#: A language and source with fewer documents takes the thresholds over all documents.
-MIN_GROUP = 50
+#: A group's quantiles are means of its own, weighted by its texts, and of those over all, weighted by so many texts.
+PRIOR = 5
 #: Up to so many rows of thresholds are broadcast; more are joined on salted keys.
 BROADCAST_ROWS, SALTS = 20_000, 64
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -79,7 +79,8 @@ def _limits(q: Column, side: str, slack: float) -> Column:
 def thresholds(m: DataFrame) -> DataFrame:
     """Limits per language and source from mergeable quantile sketches, combined before the shuffle.
 
-    Null keys form groups of their own. Texts without words take no part.
+    Null keys form groups of their own. Texts without words take no part. A group of n texts has the
+    quantiles (n * its own + PRIOR * those over all) / (n + PRIOR), for every n.
     """
     names = list(dict.fromkeys(r[0] for r in RULES))
     sketch = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), ACCURACY).alias(f"q_{c}") for c in names]
@@ -87,7 +88,7 @@ def thresholds(m: DataFrame) -> DataFrame:
     own = some.groupBy("lang", "source").agg(F.count("*").alias("n_group"), *sketch)
     whole = some.agg(*[s.alias(f"all_{c}") for s, c in zip(sketch, names, strict=True)])
     both = own.join(F.broadcast(whole))
-    use = {c: F.when(F.col("n_group") >= MIN_GROUP, F.col(f"q_{c}")).otherwise(F.col(f"all_{c}")) for c in names}
+    use = {c: F.zip_with(f"q_{c}", f"all_{c}", lambda own, whole: (F.col("n_group") * own + PRIOR * whole) / (F.col("n_group") + PRIOR)) for c in names}
     return both.select("lang", "source", "n_group", *[_limits(use[c], side, slack).alias(f"{side}_{c}") for c, side, slack in RULES])
 
 
