@@ -60,24 +60,25 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, po
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = POWER, seed: int = 20, copy_col: str | None = None) -> DataFrame:
     """`docs`, every row as often as a Poisson draw says that its doc_id and text seed, in a random order.
 
-    All columns stay; `copy_col` adds the number of the copy, from 0. Null sources are one source;
+    All columns stay; `copy_col` adds the number of the copy, from 0, and replaces a column of that name. Null sources are one source;
     null ids and texts draw like any other value. Equal rows draw alike. Empty tables stay empty.
     The order: rows are dealt to partitions and sorted in them by a hash of id, text and copy.
     """
     spark = docs.sparkSession
-    per = C.written(rates(docs, weights, power), "mixing-rates").withColumnRenamed("source", "_mix_source")
-    names = {x: C.free_name(docs, x) for x in ("_rate", "_u_key", "_n", "_copy", "_mix_salt")}
-    per = per.withColumnRenamed("rate", names["_rate"])
-    cond = docs["source"].eqNullSafe(per["_mix_source"])
+    if copy_col:
+        docs = docs.drop(*[c for c in docs.columns if c.lower() == copy_col.lower()])
+    names = {x: C.free_name(docs, x) for x in ("_rate", "_u_key", "_n", "_copy", "_mix_salt", "_mix_source", "_salt_of")}
+    per = C.written(rates(docs, weights, power), "mixing-rates").withColumnsRenamed({"source": names["_mix_source"], "rate": names["_rate"]})
+    cond = docs["source"].eqNullSafe(per[names["_mix_source"]])
     if per.count() <= BROADCAST_ROWS:
         out = docs.join(F.broadcast(per), cond, "left")
     else:
         salt = names["_mix_salt"]
         salted = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
-        per = per.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = salted.join(per, salted["source"].eqNullSafe(per["_mix_source"]) & (salted[salt] == per["_salt_of"]), "left").drop(salt, "_salt_of")
+        per = per.withColumn(names["_salt_of"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = salted.join(per, salted["source"].eqNullSafe(per[names["_mix_source"]]) & (salted[salt] == per[names["_salt_of"]]), "left").drop(salt, names["_salt_of"])
     key, rate, n, copy = names["_u_key"], F.col(names["_rate"]), names["_n"], names["_copy"]
-    out = out.drop("_mix_source").withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    out = out.drop(names["_mix_source"]).withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     parts = F.greatest(F.lit(1), F.ceil(rate / PART).cast("int"))
     draw = lambda acc, j: acc + inverted(uniform(seed, F.col(key), j), rate / parts)
     out = out.withColumn(n, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), draw)).filter(F.col(n) > 0)
