@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # fixed values: endpoint suffixes in the order they are tried, and headers that a proxy drops
 ENDPOINTS = (("/chat/completions", "chat"), ("/completions", "completions"), ("/responses", "responses"), ("/messages", "messages"), ("/count_tokens", "messages"), ("/embeddings", "embeddings"), ("/models", "models"))
 REQUEST_DROPS = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade", "content-length", "host", "expect")
+RESPONSE_DROPS = ("connection", "keep-alive", "transfer-encoding", "content-length")
 REF_COST, LIT_COST, FRAME_COST, CHUNK = 20, 4, 12, 256 * 1024
 
 

@@ -76,6 +76,7 @@ ORACLE_SQL = {
     "skip_labels": _K + f" SELECT CASE {_GATE} WHEN 'path' THEN 'endpoint is relayed' WHEN 'too_small' THEN 'body is small' ELSE 'body is large' END AS label, count(*) AS n FROM k WHERE {_GATE} IS NOT NULL GROUP BY 1",
     "inflation_guard": _T + " SELECT split, wire + refs * 200 > body + greatest(body // 16, 1024) AS inflates, count(*) AS n FROM t GROUP BY ALL",
     "header_filter": "SELECT event_id, 'content-type=' || event_type || ';authorization=Bearer u' || user_id AS headers FROM events",
+    "response_header_filter": "SELECT event_id, 'content-type=' || event_type || ';x-request-id=r' || user_id || ';te=x' AS headers FROM events",
     "header_auth": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'accept=*/*;authorization=Bearer u' || user_id WHEN event_id % 2 = 0 THEN 'accept=*/*;anthropic-version=2023-06-01;x-api-key=k' || event_id % 3
       ELSE 'accept=*/*;authorization=Bearer k' || event_id % 3 END AS headers FROM events""",
     "query_params": _T + " SELECT DISTINCT path, CASE WHEN path LIKE '%part=%' THEN '2' END AS part, CASE WHEN path LIKE '%name=%' THEN 'x' END AS name, 'https://up' || path AS url, CASE WHEN length(path) <= 12 THEN path ELSE '..' || right(path, 10) END AS short FROM t",

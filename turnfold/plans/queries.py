@@ -61,6 +61,13 @@ def header_filter(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(F.transform(kept, lambda h: F.concat(h["name"], F.lit("="), h["value"])), ";").alias("headers"))
 
 
+def response_header_filter(spark, sf):
+    """The headers of an answer that are passed on."""
+    pairs = [("Connection", F.lit("close")), ("Content-Type", F.col("event_type")), ("Content-Length", F.col("event_id").cast("string")), ("X-Request-Id", F.concat(F.lit("r"), F.col("user_id").cast("string"))), ("Keep-Alive", F.lit("5")), ("Transfer-Encoding", F.lit("chunked")), ("TE", F.lit("x"))]
+    kept = S.kept_headers(F.array(*[F.struct(F.lit(a).alias("name"), b.alias("value")) for a, b in pairs]), S.RESPONSE_DROPS)
+    return table(spark, sf, "events").select("event_id", F.array_join(F.transform(kept, lambda h: F.concat(h["name"], F.lit("="), h["value"])), ";").alias("headers"))
+
+
 def header_auth(spark, sf):
     e = table(spark, sf, "events").withColumn("kind", F.when(F.col("event_id") % 2 == 0, "messages").otherwise("chat"))
     given = F.create_map(F.lit("authorization"), F.concat(F.lit("Bearer u"), F.col("user_id").cast("string")), F.lit("accept"), F.lit("*/*"))
@@ -489,7 +496,7 @@ def stream_presence(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("peer").agg(F.sum("refs").alias("refs"), F.sum("refs_hit").alias("refs_hit"), F.sum("pushed_bytes").alias("pushed_bytes"))
 
 
-NAMES = """classify_paths gate_reasons skip_labels inflation_guard header_filter header_auth query_params human_sizes hex_digests
+NAMES = """classify_paths gate_reasons skip_labels inflation_guard header_filter response_header_filter header_auth query_params human_sizes hex_digests
 message_blocks first_seen_refs push_set split_stats replay_rows replay_topn replay_totals presence_probe whole_doc_dedup cross_agent_sharing epoch_reset shadow_estimate
 program_sizes wire_frames_exact resolve_identity missing_blocks payload_containment turn_ledger turn_counters buckets_by_path buckets_by_profile summary_line
 prometheus_lines ring_recent ring_buckets sparkline_points lru_prune ttl_eviction store_stats store_simulation bloom_membership json_spans json_validate structural_split
