@@ -139,3 +139,10 @@ def crc(ids):
     import numpy as np
 
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+def repeated_strings_of_words(texts, n):
+    """Whether each text holds a string of n words that also starts elsewhere."""
+    split = [re.findall("[^ \t-\r]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in split for i in range(len(w) - n + 1))
+    return [any(seen[tuple(w[i : i + n])] > 1 for i in range(len(w) - n + 1)) for w in split]

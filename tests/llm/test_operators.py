@@ -83,6 +83,26 @@ def test_substrings(spark, sf):
     assert substring_deduplicated(frame(spark, [])).count() == 0
 
 
+def test_passages(spark, sf):
+    df, docs = documents(spark, sf)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.randint(1, 3))) + str(r.randint(0, 999))
+    made = [[word() for _ in range(r.choice([20, 80, 300]))] for _ in range(30)]
+    for n in (35, 36, 50, 51, 52, 70, 120):  # passages of about the bounds, anywhere, parted anyhow
+        for _ in range(3):
+            a, b = r.choice(made[:30]), r.choice(made[:30])
+            s = r.randint(0, max(0, len(a) - n))
+            made.append([word() for _ in range(5)] + b[: r.randint(0, 20)] + [word()] + a[s : s + n] + [word()])
+    texts = [*ODD[:8], *("".join(w + r.choice([" ", "\n", "\t "]) for w in x) for x in made)]
+    for table, rows in ((df, [t for _, t in docs]), (frame(spark, texts), texts)):
+        got = by_id(substring_deduplicated(table), "n_passages")
+        ids = [i for i, _ in docs] if table is df else range(len(rows))
+        for i, must, may in zip(ids, brute.repeated_strings_of_words(rows, 51), brute.repeated_strings_of_words(rows, 36), strict=True):
+            assert must <= (got[i][0] > 0) <= may
+    copies = substring_deduplicated(frame(spark, [" ".join(made[1][:51]), " ".join(made[1][:51]), None], [1, 2, 3]))
+    assert by_id(copies, "n_passages") == {1: (1,), 2: (1,), 3: (0,)}
+
+
 def test_quality_rules(spark, sf):
     cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     for df, docs in (documents(spark, sf), (frame(spark, ODD), list(enumerate(ODD)))):

@@ -11,6 +11,10 @@ name is unique take no part in the next round:
    stretches from a sampled position before a window to one after it. Windows inside a repeated stretch are repeated.
 3. Length LENGTH, for windows that are still open, and, once for each repeated stretch, for windows
    of it that they may equal: pairs of names at p and p + LENGTH - 256.
+
+Passages of over 50 words may have fewer than LENGTH bytes. They are not removed, but told in
+n_passages: the same doubling over words names the strings of WORDS words, sampled by content, and
+Spark groups them once.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from . import common as C
 
 LENGTH, GRAM = 400, 128
 _GOLD = B.U(0x9E3779B97F4A7C15)
-_BYTES = B.seeded(256, 31)
+#: Words of the strings that tell of passages, and how many neighbours one of them stands for: a
+#: passage of WORDS + NEAR - 1 = 51 words holds a sampled string, wherever it begins.
+WORDS, NEAR = 36, 16
 #: A window holds the neighbourhoods that begin so many bytes after it, and those between.
 ROOM = LENGTH - 2 * GRAM + 1
 
@@ -39,15 +45,20 @@ def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return B.mix(x)
 
 
-def _doubled(data: np.ndarray, upto: int) -> np.ndarray:
-    """Names of the strings of `upto` (a power of 2) bytes at every position where one fits."""
-    h, n = _BYTES[data], 1
+def _longer(h: np.ndarray, n: int, upto: int) -> np.ndarray:
+    """Names of the strings of `upto` units at every position where one fits, from those of n (both powers of 2)."""
     while n < upto and len(h):
         h = _pair(h[:-n], h[n:])
         n *= 2
     return h
 
 
+def _doubled(data: np.ndarray, upto: int) -> np.ndarray:
+    """Names of the strings of `upto` (a power of 2, 8 at least) bytes; a string of 8 is its own number."""
+    n = max(len(data) - 7, 0)
+    return _longer(B.mix(np.ndarray(n, "<u8", np.ascontiguousarray(data), strides=(1,)).astype(B.U)), 8, upto) if n else np.zeros(0, B.U)
+
+
 def _least(x: np.ndarray, n: int) -> np.ndarray:
     """The first place of the least of x[i : i + n] for every i where that fits; n is a power of 2."""
     at, k = np.arange(len(x), dtype=np.int32), 1
@@ -167,6 +178,43 @@ def _sampled(docs: DataFrame) -> DataFrame:
     return docs.select("_k", "text").mapInArrow(run, NAMED)
 
 
+def passage_samples(c: B.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and name of the sampled strings of WORDS words: of every NEAR neighbours, within
+    one row, the one of the least name."""
+    words = B.words(c.data, c.offs, ~B.SPACE)
+    half = 1 << (WORDS.bit_length() - 1)
+    h = _longer(words.hash, 1, half)
+    rest = WORDS - half
+    if len(words.hash) < WORDS + NEAR - 1:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, B.U)
+    name = _pair(h[: len(h) - rest], h[rest:])
+    at = _least(name, NEAR)
+    at = at[words.doc[: len(at)] == words.doc[WORDS + NEAR - 2 :]].astype(np.int64)
+    at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
+    return words.doc[at], at, name[at]
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """k, n_passages: how many sampled strings of WORDS words of a row also start elsewhere, where any do.
+
+    docs: _k, text. Every row with a passage of 51 words or more that starts elsewhere too is there;
+    no row without one of WORDS words is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Combined()
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for c in B.chunks(batch.column(1)):
+                doc, at, name = passage_samples(c)
+                yield from out.add(name, keys[c.first + doc], at, np.zeros(len(at), np.int64), np.ones(len(at), bool))
+        yield from out.flush()
+
+    met = _met(docs.select("_k", "text").mapInArrow(run, NAMED))
+    return met.filter("sure").groupBy("k").agg(F.count("*").alias("n_passages"))
+
+
 def stretches(at: np.ndarray, g: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """From the repeated sampled positions of a row: (name, first window, last window) of the stretches
     that hold windows, and (first, last) of windows that no stretch of repeated positions holds.
@@ -321,12 +369,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 
 def substring_deduplicated(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (doc_id) of every row, n_bytes, n_removed, n_spans, kept_sha256.
+    """`keep` columns (doc_id) of every row, n_bytes, n_removed, n_spans, kept_sha256, n_passages.
 
     Null and empty texts, and texts under LENGTH bytes, lose nothing (0, 0, 0 bytes for null). Texts
     that come more than once lose everything if they have LENGTH bytes; so they stand for each other
     and only one of them is searched. Ties play no part: all places of a repeated string lose it.
-    Empty tables give no rows.
+    Empty tables give no rows. n_passages is that of repeated_passages, else 0; rows that agree in
+    text and `keep` columns are told their sum.
     """
     keep = keep or ["doc_id"]
     size, k, text = C.free_name(docs, "_n"), "_k", F.coalesce(F.col("text"), F.lit(""))
@@ -343,21 +392,23 @@ def substring_deduplicated(docs: DataFrame, keep: list[str] | None = None) -> Da
         split.filter("_maybe").drop("_maybe").join(copies.filter("k = first and rows > 1").select(F.col("k").alias(k)), k, "left_semi").dropDuplicates([k])
     )
     spans = C.written(repeated_windows(split.filter("not _maybe").drop("_maybe").union(rest)), "spans")
+    passages = C.written(repeated_passages(base), "passages")
     copies = copies.select("k", "n_bytes")
     partly = spans.join(copies.select("k"), "k", "left_anti").withColumnRenamed("k", k)
     cols = [F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)]
-    flagged = C.with_maybe(base, k, partly.select(k).union(copies.select(F.col("k").alias(k))), k, "_maybe")
-    nothing = [F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")]
+    flagged = C.with_maybe(base, k, partly.select(k).union(copies.select("k")).union(passages.select("k")), k, "_maybe")
+    nothing = [F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(0).cast("long").alias("n_passages")]
     clean = flagged.filter("not _maybe").select(*cols, F.col(size).alias("n_bytes"), *nothing)
     some = flagged.filter("_maybe")
     cut = _cut(some.join(partly, k).select(k, "text", "spans")).dropDuplicates([k])
     light = some.select(*[f"_keep{i}" for i in range(len(keep))], k, size, F.sha2("text", 256).alias("own"))
-    light = light.join(cut, k, "left").join(copies.select(F.col("k").alias(k), F.lit(True).alias("all")), k, "left")
+    light = light.join(cut, k, "left").join(copies.select(F.col("k").alias(k), F.lit(True).alias("all")), k, "left").join(passages.withColumnRenamed("k", k), k, "left")
     gone = F.coalesce("all", F.lit(False))
     zero = F.lit(0).cast("long")
     touched = light.select(
         *cols, F.col(size).alias("n_bytes"), F.when(gone, F.col(size)).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "own")).alias("kept_sha256"),
+        F.coalesce("n_passages", zero).alias("n_passages"),
     )
     return clean.union(touched)
