@@ -31,6 +31,7 @@ from . import common as C
 
 LENGTH, GRAM = 400, 128
 _GOLD = B.U(0x9E3779B97F4A7C15)
+_PARTS = _GOLD * np.arange(1, 7, dtype=B.U)
 #: Words of the strings that tell of passages, and how many neighbours one of them stands for: a
 #: passage of WORDS + NEAR - 1 = 51 words holds a sampled string, wherever it begins.
 WORDS, NEAR = 36, 16
@@ -89,6 +90,8 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return q[new], h[q[new]], w[new], w[last]
 
 
+#: Bytes of a chunk of texts: its arrays of 8 bytes a position stay in the processor's cache.
+CHUNK = 1 << 16
 #: Rows that a task holds before it combines them.
 PENDING = 1 << 21
 NAMED = "h long, k long, a long, b long, w tinyint"
@@ -116,46 +119,58 @@ class Combined:
             return
         h, k, a, b, ask = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.n = [], 0
-        order = np.argsort(h, kind="stable")
-        h, k, a, b, ask = h[order], k[order], a[order], b[order], ask[order]
-        new = np.r_[True, h[1:] != h[:-1]]
-        first = np.flatnonzero(new)
-        many = np.repeat(np.diff(np.r_[first, len(h)]) > 1, np.diff(np.r_[first, len(h)]))
-        w = np.where(many, np.where(new, 2, 3), 1).astype(np.int8)
+        order = np.argsort(h)
+        name = h[order]
+        new = np.r_[True, name[1:] != name[:-1]]
+        size = np.diff(np.r_[np.flatnonzero(new), len(h)])
+        w = np.empty(len(h), np.int8)
+        w[order] = np.where(np.repeat(size > 1, size), np.where(new, 2, 3), 1)
         w = np.where(ask, w, -w).astype(np.int8)  # below 0: does not ask
-        keep = w != -3
-        for i in range(0, int(keep.sum()), 1 << 17):
-            on = np.flatnonzero(keep)[i : i + (1 << 17)]
+        keep = np.flatnonzero(w != -3)  # in their first order: rows of a text stay together, and shrink well
+        for i in range(0, len(keep), 1 << 17):
+            on = keep[i : i + (1 << 17)]
             yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (h.view(np.int64), k, a, b, w)], names=["h", "k", "a", "b", "w"])
 
 
-def _met(named: DataFrame) -> DataFrame:
+def _met(named: DataFrame, surely: bool = False) -> DataFrame:
     """h, k, a, b, ask, sure, stands: whether a name is repeated, and one row of each that stands for it.
+    With `surely`, only the rows that ask and whose name is repeated.
 
     A task sends each name once at most, so a common name brings no partition more rows than there are
-    tasks; the others of several are spread evenly.
+    tasks; the others of several are spread evenly, and pass without being held.
     """
     parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     where = F.when(F.abs("w") == 3, F.xxhash64("k", "a")).otherwise(F.col("h"))
 
+    def rows(h, k, a, b, ask, sure, stands) -> Iterator[pa.RecordBatch]:
+        on = np.flatnonzero(sure & ask) if surely else np.arange(len(h))
+        for i in range(0, len(on), 1 << 17):
+            part = on[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (h, k, a, b, ask, sure, stands)], names=["h", "k", "a", "b", "ask", "sure", "stands"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)] for batch in batches]
+        held = []
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            alone = np.abs(cols[4]) == 3
+            if alone.any():
+                h, k, a, b, w = (x[alone] for x in cols)
+                yield from rows(h, k, a, b, w > 0, np.ones(len(h), bool), np.zeros(len(h), bool))
+            held.append([x[~alone] for x in cols])
         if not held:
             return
         h, k, a, b, w = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
-        ask, w = w > 0, np.abs(w)
-        order = np.lexsort((w == 3, h))
-        h, k, a, b, w, ask = h[order], k[order], a[order], b[order], w[order], ask[order]
-        alone = w == 3
-        new = np.r_[True, (h[1:] != h[:-1]) | (alone[1:] != alone[:-1])]
+        held.clear()
+        if not len(h):
+            return
+        order = np.argsort(h)
+        name = h[order]
+        new = np.r_[True, name[1:] != name[:-1]]
         first = np.flatnonzero(new)
-        times = np.add.reduceat(w.astype(np.int64), first)
-        sure = alone | np.repeat(times > 1, np.diff(np.r_[first, len(h)]))
-        stands = new & ~alone
-        for i in range(0, len(h), 1 << 17):
-            on = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (h, k, a, b, ask, sure, stands)], names=["h", "k", "a", "b", "ask", "sure", "stands"])
+        repeated = np.add.reduceat(np.abs(w[order]).astype(np.int64), first) > 1
+        sure, stands = np.empty(len(h), bool), np.empty(len(h), bool)
+        sure[order], stands[order] = np.repeat(repeated, np.diff(np.r_[first, len(h)])), new
+        yield from rows(h, k, a, b, w > 0, sure, stands)
 
     return named.repartition(parts, where).mapInArrow(run, "h long, k long, a long, b long, ask boolean, sure boolean, stands boolean")
 
@@ -168,7 +183,7 @@ def _sampled(docs: DataFrame) -> DataFrame:
         out = Combined()
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for c in B.chunks(batch.column(1)):
+            for c in B.chunks(batch.column(1), CHUNK):
                 at, g, first, last = anchors(c.data, c.offs)
                 doc = np.searchsorted(c.offs, at, "right") - 1
                 packed = (at - c.offs[doc]) << 16 | (at - first) << 8 | (at - last)
@@ -206,17 +221,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         out = Combined()
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for c in B.chunks(batch.column(1)):
+            for c in B.chunks(batch.column(1), CHUNK):
                 doc, at, name = passage_samples(c)
                 yield from out.add(name, keys[c.first + doc], at, np.zeros(len(at), np.int64), np.ones(len(at), bool))
         yield from out.flush()
 
-    met = _met(docs.select("_k", "text").mapInArrow(run, NAMED))
-    return met.filter("sure").groupBy("k").agg(F.count("*").alias("n_passages"))
+    return _met(docs.select("_k", "text").mapInArrow(run, NAMED), surely=True).groupBy("k").agg(F.count("*").alias("n_passages"))
 
 
-def stretches(at: np.ndarray, g: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """From the repeated sampled positions of a row: (name, first window, last window) of the stretches
+def stretches(at: np.ndarray, g: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], list[tuple[int, int]]]:
+    """From the repeated sampled positions of a row: (names, first windows, last windows) of the stretches
     that hold windows, and (first, last) of windows that no stretch of repeated positions holds.
 
     Both leave out windows that hold a neighbourhood whose sampled position is unique. (A position
@@ -227,7 +241,7 @@ def stretches(at: np.ndarray, g: np.ndarray) -> tuple[list[tuple[int, int, int]]
     pos = at >> 16
     first, last = pos - (at >> 8 & 255), pos - (at & 255)
     firsts = np.flatnonzero(np.r_[True, last[:-1] + 1 != first[1:]])
-    closed: list[tuple[int, int, int]] = []
+    closed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     open_: list[tuple[int, int]] = []
     span = LENGTH - GRAM
     for u, v in zip(firsts, np.r_[firsts[1:], len(pos)] - 1, strict=True):
@@ -251,11 +265,12 @@ def stretches(at: np.ndarray, g: np.ndarray) -> tuple[list[tuple[int, int, int]]
         cuts = np.unique(np.r_[c_lo, p[(p > c_lo) & (p <= c_hi)], p[(p - span >= c_lo) & (p - span < c_hi)] - span + 1])
         ends = np.r_[cuts[1:] - 1, c_hi]
         i, j = np.searchsorted(p, cuts, "right") - 1, np.searchsorted(p, ends + span, "left")
-        for a, b, x, y in zip(cuts.tolist(), ends.tolist(), i.tolist(), j.tolist(), strict=True):
-            level = (y - x + 1).bit_length() - 1
-            h, far = names[level], y - (1 << level) + 1
-            parts = np.array([h[x], h[far], B.U(int(p[far] - p[x])), B.U(y - x), B.U(int(a - p[x])), B.U(b - a)], B.U)
-            closed.append((int(np.add.reduce(B.mix(parts + _GOLD * np.arange(1, 7, dtype=B.U)) * (parts | B.U(1))).view(np.int64)), a, b))
+        level = np.frexp((j - i + 1).astype(np.float64))[1] - 1  # of the longest names that fit
+        base = np.cumsum([0, *map(len, names[:-1])])[level]
+        names, far = np.concatenate(names), j - (1 << level) + 1
+        parts = np.stack([names[base + i], names[base + far], *(x.astype(B.U) for x in (p[far] - p[i], j - i, cuts - p[i], ends - cuts))], axis=1)
+        name = np.add.reduce(B.mix(parts + _PARTS) * (parts | B.U(1)), axis=1)
+        closed.append((name, cuts, ends))
     return closed, open_
 
 
@@ -267,15 +282,18 @@ def _stretches(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Combined()
         for batch in batches:
-            rows: list[tuple[int, int, int, int]] = []
-            for k, items in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                at, g = np.array([x["a"] for x in items], np.int64), np.array([x["h"] for x in items], np.int64).view(B.U)
-                closed, open_ = stretches(at, g)
-                rows += [(name, k, a, b) for name, a, b in closed]
-                rows += [(k + a * 2654435761 & 0x7FFFFFFFFFFFFFFF, k, a, -b - 1) for a, b in open_]
-            if rows:
-                name, k, a, b = np.array(rows, np.int64).T
-                yield from out.add(name.view(B.U), k, a, b, np.ones(len(k), bool))
+            lists = batch.column(1)
+            offs = lists.offsets.to_numpy()
+            at, g = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for k, i, j in zip(batch.column(0).to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                closed, open_ = stretches(at[i:j], g[i:j].view(B.U))
+                if open_:
+                    a, b = np.array(open_, np.int64).T
+                    made_up = (a * 2654435761 + k) & 0x7FFFFFFFFFFFFFFF
+                    closed.append((made_up.view(B.U), a, -b - 1))
+                if closed:
+                    name, a, b = (np.concatenate(x) for x in zip(*closed, strict=True))
+                    yield from out.add(name, np.full(len(a), k), a, b, np.ones(len(a), bool))
         yield from out.flush()
 
     return found.mapInArrow(run, NAMED)
@@ -289,16 +307,19 @@ def _windows(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Combined()
         for batch in batches:
-            keys, ranges = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            lists = batch.column(2)
+            offs = lists.offsets.to_numpy()
+            first, last, opens = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             texts = batch.column(1).cast(pa.large_binary())
-            for k, text, own in zip(keys, texts, ranges, strict=True):
+            for k, text, i, j in zip(batch.column(0).to_pylist(), texts, offs[:-1].tolist(), offs[1:].tolist(), strict=True):
                 data = np.frombuffer(text.as_py() or b"", np.uint8)
                 if len(data) < LENGTH:
                     continue
                 half = _doubled(data, 256)
                 name = _pair(half[: len(data) - LENGTH + 1], half[LENGTH - 256 :])
-                p = np.concatenate([np.arange(r["a"], r["b"] + 1) for r in own])
-                asks = np.repeat([r["open"] for r in own], [r["b"] - r["a"] + 1 for r in own])
+                size = last[i:j] - first[i:j] + 1
+                p = np.arange(size.sum()) + np.repeat(first[i:j] - (np.cumsum(size) - size), size)
+                asks = np.repeat(opens[i:j], size)
                 yield from out.add(name[p], np.full(len(p), k), p, p, asks)
         yield from out.flush()
 
@@ -356,14 +377,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """k, spans: packed ranges of windows of LENGTH bytes that also start elsewhere in `docs`.
 
     docs: _k, text, every text once."""
-    found = _met(_sampled(docs)).filter("sure").groupBy("k").agg(F.collect_set(F.struct("a", "h")).alias("items"))
+    found = _met(_sampled(docs), surely=True).groupBy("k").agg(F.collect_set(F.struct("a", "h")).alias("items"))
     ranges = _met(_stretches(found.select("k", "items")))
     last = F.when(F.col("b") < 0, -F.col("b") - 1).otherwise(F.col("b"))
     sure = F.col("sure") & (F.col("b") >= 0)
     ranges = C.written(ranges.select("k", "a", last.alias("b"), sure.alias("sure"), (~sure | F.col("stands")).alias("out")), "ranges")
     wanted = ranges.filter("out").groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("a", "b", (~F.col("sure")).alias("open"))).alias("own"))
     some = C.with_maybe(docs.select("_k", "text"), "_k", ranges.filter("out"), "k", "_maybe").filter("_maybe").drop("_maybe")
-    open_ = _met(_windows(some.join(wanted, "_k").select("_k", "text", "own"))).filter("sure and ask")
+    open_ = _met(_windows(some.join(wanted, "_k").select("_k", "text", "own")), surely=True)
     both = _packed(ranges.filter("sure")).union(_packed(open_))
     return both.groupBy("k").agg(F.collect_list("runs").alias("spans"))
 
