@@ -326,27 +326,32 @@ def _windows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, NAMED)
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """k, runs: the ranges (k, a, b) of each partition, joined where they touch, as pairs of 32 bits."""
+def _joined(found: DataFrame) -> DataFrame:
+    """k, spans: the byte runs that the windows of each row cover, in order, as start * 2^32 + end.
+
+    found: k, list of first * 2^32 + last window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(k):
+            lists = batch.column(1)
+            offs = lists.offsets.to_numpy()
+            v = lists.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]]
+            if not len(v):
                 continue
-            order = np.lexsort((a, k))
-            k, a, b = k[order], a[order], b[order]
-            first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (a[1:] > b[:-1] + 1)])
-            pair = np.stack((a[first], np.maximum.reduceat(b, first)), axis=1).astype(np.int32)
-            own = np.flatnonzero(np.r_[True, k[first][1:] != k[first][:-1]])
-            cut = np.r_[own, len(first)].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(k[first][own]), pa.array([pair[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary())], names=["k", "runs"])
+            row = np.repeat(np.arange(len(offs) - 1), np.diff(offs)) << 33  # no run reaches the next row's
+            start, end = row + (v >> 32), row + (v & 0xFFFFFFFF) + LENGTH
+            order = np.argsort(start)
+            start, end = start[order], np.maximum.accumulate(end[order])
+            first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+            start, end = start[first], end[np.r_[first[1:] - 1, len(end) - 1]]
+            counts = np.bincount(start >> 33, minlength=len(offs) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), B.lists((start & (1 << 33) - 1) << 32 | end & (1 << 33) - 1, counts, pa.int64())], names=["k", "spans"])
 
-    return rows.select("k", "a", "b").mapInArrow(run, "k long, runs binary")
+    return found.mapInArrow(run, "k long, spans array<long>")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """_k and the digest columns; texts: _k, text, list of packed ranges of repeated windows."""
+    """_k and the digest columns; texts: _k, text, list of byte runs, as start * 2^32 + end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -356,17 +361,14 @@ def _cut(texts: DataFrame) -> DataFrame:
             texts = batch.column(1).cast(pa.large_binary())
             for k, text, own in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
                 raw = text.as_py() or b""
-                kept, at, removed, spans, end = hashlib.sha256(), 0, 0, 0, -1
-                for a, b in sorted((a, b + LENGTH) for r in own for a, b in np.frombuffer(r, np.int32).reshape(-1, 2).tolist()):
-                    if a > end:
-                        kept.update(raw[at:a])
-                        spans += 1
-                        removed += b - a
-                    elif b > end:
-                        removed += b - end
-                    end = at = max(end, b)
+                kept, at, removed = hashlib.sha256(), 0, 0
+                for v in own:
+                    start, end = v >> 32, v & 0xFFFFFFFF
+                    kept.update(raw[at:start])
+                    removed += end - start
+                    at = end
                 kept.update(raw[at:])
-                out.append((k, removed, spans, kept.hexdigest()))
+                out.append((k, removed, len(own), kept.hexdigest()))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["_k", "n_removed", "n_spans", "kept_sha256"])
 
@@ -374,7 +376,7 @@ def _cut(texts: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """k, spans: packed ranges of windows of LENGTH bytes that also start elsewhere in `docs`.
+    """k, spans: the byte runs of the windows of LENGTH bytes that also start elsewhere in `docs`.
 
     docs: _k, text, every text once."""
     found = _met(_sampled(docs), surely=True).groupBy("k").agg(F.collect_set(F.struct("a", "h")).alias("items"))
@@ -385,8 +387,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     wanted = ranges.filter("out").groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("a", "b", (~F.col("sure")).alias("open"))).alias("own"))
     some = C.with_maybe(docs.select("_k", "text"), "_k", ranges.filter("out"), "k", "_maybe").filter("_maybe").drop("_maybe")
     open_ = _met(_windows(some.join(wanted, "_k").select("_k", "text", "own")), surely=True)
-    both = _packed(ranges.filter("sure")).union(_packed(open_))
-    return both.groupBy("k").agg(F.collect_list("runs").alias("spans"))
+    span = F.expr("shiftleft(a, 32) + b").alias("r")
+    both = ranges.filter("sure").select("k", span).union(open_.select("k", span))
+    return _joined(both.groupBy("k").agg(F.collect_list("r").alias("spans")))
 
 
 def substring_deduplicated(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
