@@ -6,8 +6,9 @@ from turnfold.functions import cdc, codec
 from turnfold.functions import jsonscan as J
 from turnfold.functions.blake3 import blake3
 from turnfold.operators import splitting as P
-from turnfold.operators.store import Bloom, Store
-from turnfold.sources.tables import Config, load_config
+from turnfold.operators.link import Link, Peer
+from turnfold.operators.store import Blocks, Bloom, Store
+from turnfold.sources.tables import Config, Profile, load_config
 
 
 def test_blake3_published_vectors():
@@ -168,6 +169,80 @@ def test_programs():
     assert P.Session().split(b"k" * 9000)[0] is None
 
 
+def test_missing_set_of_nested_programs():
+    d, e, f = b"d" * 16, b"e" * 16, b"f" * 16
+    known = {d: (P.MEDIA, 3, b"mmm"), e: (P.MEMBER, 6, [(d, 3), b"-", (d, 3)]), f: (P.MEMBER, 6, [(e, 6)])}
+    assert P.missing({}, [(f, 6), (e, 6)], known=known) == [e, d, f] and P.missing({}, [(f, 6)], known=known) == [f, e, d]
+    assert P.missing({f: known[f]}, [(f, 6), (d, 3)], known=known) == [d] and P.missing({d: known[d]}, [(f, 6)], known=known) == [f, e]
+    assert P.missing({}, [(f, 6)], limit=2, known=known) == [f, e] and P.missing({}, [(f, 6)]) == [f] and P.missing({}, [b"x"]) == []
+
+
+def test_frames_say_what_they_are():
+    assert [int(codec.Tag[n]) for n in ("HELLO", "PROGRAM", "NEED", "END_OF_BODY", "FAIL", "REQUEST_BODY_Z")] == [1, 4, 7, 17, 19, 23] and len(codec.Tag) == 23 and len(codec.PACKED) == 4
+    with pytest.raises(ValueError):
+        codec.decode_frames(codec.encode_frame(24, 1, b""))
+    long = b'{"role":"user"}' * 100
+    tag, raw = codec.upload(codec.Tag.PROGRAM, long, True)
+    assert tag == codec.Tag.PROGRAM_Z and len(raw) < len(long) and codec.received(tag, raw) == (codec.Tag.PROGRAM, long)
+    for given in ((codec.Tag.PROGRAM, long, False), (codec.Tag.PROGRAM, b"short", True), (codec.Tag.RESPONSE_BODY, long, True)):
+        assert codec.upload(*given) == given[:2] == codec.received(*given[:2])
+    said = {"version": 2, "ok": False, "reason": None, "peer_name": "é"}
+    assert codec.encode_control(said) == '{"version":2,"ok":false,"peer_name":"é"}'.encode() and codec.decode_control(codec.encode_control(said)) == {k: v for k, v in said.items() if v is not None}
+    for bad in (b"nope", b"[1]"):
+        with pytest.raises(ValueError):
+            codec.decode_control(bad)
+    bloom = Bloom(100).to_bytes()
+    assert codec.decode_bloom(codec.encode_bloom(3, 300, bloom)) == (3, 300, bloom)
+
+
+def test_link_repairs():
+    body = chat(9)
+    link = Link()
+    first = link.send(body)
+    again = link.send(body)
+    assert (first.outcome, again.outcome) == ("split", "split") and first.body == again.body == body and again.wire < 2_000 < 50_000 < first.wire
+    whole = len(link.peer.blocks)
+    assert link.peer.reset() == whole
+    # the peer starts anew and asks again: for the program's blocks, then for each of the three images inside them
+    third = link.send(body)
+    assert (third.outcome, third.repairs, third.resent, third.body) == ("repaired", 4, whole, body) and len(link.peer.blocks) == whole
+    # what the sender lost too can't come again: whole, and nothing is taken as noted any more
+    link.peer.reset(), link.known.clear()
+    lost = link.send(body)
+    assert (lost.outcome, lost.reason, lost.repairs, lost.body) == ("resent whole", "rebuild failed", 4, body) and not link.session.noted
+    assert link.send(body).outcome == "split"
+    # a block that isn't what it is named for
+    d = next(d for d, (_, _, b) in link.peer.blocks.items() if isinstance(b, bytes))
+    kind, n, b = link.peer.blocks[d]
+    link.peer.blocks[d] = (kind, n, b[::-1])
+    spoilt = link.send(body)
+    assert (spoilt.outcome, spoilt.repairs, spoilt.body) == ("resent whole", 0, body) and link.session.noted
+    small = link.send(b"{}")
+    assert (small.outcome, small.reason, small.body, small.wire) == ("whole", "too_small", b"{}", 2 + 2 * codec.FRAME_COST)
+
+
+def test_link_of_random_bodies():
+    outcomes = set()
+    for seed in range(60):
+        r = random.Random(seed)
+        policy = P.Policy(min_body=512, min_block=64, min_payload=1024, cdc_min=512, cdc_max=4096, cdc_bits=6)
+        link = Link(P.Session(policy), Peer(Store(max_bytes=r.choice([30_000, 300_000]), max_blocks=r.choice([12, 600]), max_block=200_000, ttl=0)), compress=bool(seed % 2))
+        bodies = [("{" + ",".join(f'"{r.choice(["messages", "tools", "other", "prompt"])}":{value(r, 0)}' for _ in range(r.randint(2, 7))) + "}").encode() for _ in range(6)]
+        for b in bodies * 3:
+            if r.random() < 0.2:
+                link.peer.reset()
+            x = link.send(b)
+            outcomes.add(x.outcome)
+            assert x.body == b and x.repairs <= 4 and set(link.peer.blocks) == set(link.peer.store.entries)
+    assert outcomes == {"whole", "split", "repaired", "resent whole"}
+
+
+def test_unbounded_blocks():
+    b = Blocks()
+    assert b.put(b"a", 0, 3, b"xyz") and not b.put(b"a", 0, 4, b"wxyz") and b.put(b"c", 1, 2, [b"no"])
+    assert (len(b), b.bytes, b"a" in b, b[b"a"][2], b.get(b"z")) == (2, 6, True, b"wxyz", None) and b.remove(b"a", b"z") == 1 and b.bytes == 2
+
+
 def test_store_and_bloom():
     s = Store(max_bytes=10_000, max_block=5_000)
     assert s.insert("a", 4000, 1) and s.insert("b", 3499, 2)
@@ -193,6 +268,11 @@ def test_config(tmp_path):
     (tmp_path / "a.json").write_text('{"min_body": 7, "unknown": 1}')
     (tmp_path / "a.toml").write_text('min_body = 8\ntoken = "0123456789abcdef"\n')
     assert load_config(str(tmp_path / "a.json")).min_body == 7 and load_config(str(tmp_path / "a.toml")).min_body == 8
-    for bad in ({"token": "short"}, {"role": "x"}, {"max_block": 1 << 40}):
+    (tmp_path / "b.toml").write_text('[[profiles]]\nname = "a"\nlisten = ":1"\npeer = ":2"\nother = 1\n')
+    assert load_config(str(tmp_path / "b.toml")).profiles == (Profile("a", ":1", ":2"),)
+    one = Profile("a", ":1", ":2")
+    Config(profiles=(one, Profile("b", ":3", ":2", True, "ca.der"))).check(), Config(role="remote", enabled=False, upstream="https://x").check()
+    bad = [{"token": "short"}, {"role": "x"}, {"max_block": 1 << 40}, {"enabled": False}, {"role": "remote", "upstream": "ftp://x"}, {"role": "remote", "tls": True}]
+    for given in [*bad, {"profiles": (Profile("a", ":1", ":1"),)}, {"profiles": (one, one)}, {"profiles": (Profile("a", ":1", ":2", True),)}]:
         with pytest.raises(ValueError):
-            Config(**bad).check()
+            Config(**given).check()

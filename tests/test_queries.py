@@ -4,9 +4,11 @@ import duckdb
 import pytest
 
 from turnfold.operators import replay
+from turnfold.operators import splitting as P
 from turnfold.operators.splitting import RAW, digest
 from turnfold.operators.store import Bloom
 from turnfold.operators.turns import buckets
+from turnfold.plans import queries
 from turnfold.plans.registry import ORACLE_SQL, QUERIES
 from turnfold.sources.tables import captures, table
 
@@ -56,6 +58,37 @@ def test_self_checks(spark, sf):
     assert sum(r.refs for r in s) == 1000 and sum(r.refs - r.refs_hit for r in s) == sum(r.pushed_bytes for r in s) // 100
 
 
+def test_repairs_bring_every_body_back(spark, sf):
+    rows = QUERIES["repair_protocol"](spark, sf).collect()
+    assert len(rows) == 2 * QUERIES["structural_split"](spark, sf).count() and all(r.identical for r in rows)
+    assert {r.outcome for r in rows} == {"whole", "split", "repaired", "resent whole"} and all((r.outcome == "repaired") <= (0 < r.repairs <= 4) for r in rows)
+    assert all(r.identical and r.outcome == "split" for r in QUERIES["doctor"](spark, sf).collect())
+
+
+def test_missing_closure_is_the_programs(spark, sf):
+    p = P.Policy(min_body=0)
+    blocks, programs, held = {}, {}, {}
+    for r in queries._parts(spark, sf).collect():
+        body = f'{{"model":"m","messages":[{r.note},{r.item}]}}'.encode()
+        _, programs[r.seq], push, _ = P.Session(p).split(body)
+        blocks |= push
+        kinds = {(k, isinstance(b, bytes) and "user" in str(b[:20]) and b"note" in b[:40]): d for d, (k, _, b) in push.items()}
+        want = {1: (P.MEMBER, False), 2: (P.MEDIA, False)}.get(r.seq % 3)
+        if want in kinds:
+            held[kinds[want]] = True
+    got = {r.request: (r.blocks, r.bytes) for r in QUERIES["missing_closure"](spark, sf).collect()}
+    want = {i: P.missing(held, x, known=blocks) for i, x in programs.items()}
+    assert got == {i: (len(x), sum(blocks[d][1] for d in x)) for i, x in want.items()}
+
+
+def test_chunks_are_of_every_document(spark, tmp_path):
+    texts = [None, "", "a", "b" * 511, "c" * 4095, "words and more " * 700]
+    got = QUERIES["cdc_chunks"](spark, documents(spark, tmp_path, [(i, t, "en", "a", None) for i, t in enumerate(texts)])).collect()
+    ends = {i: max([r.end for r in got if r.doc_id == i], default=0) for i in range(len(texts))}
+    assert ends == {i: len(t or "") for i, t in enumerate(texts)}
+    assert sum(r.end - r.start for r in got) == sum(len(t or "") for t in texts)
+
+
 def test_bucket_arithmetic(spark):
     rows = [(1, "a", "chat", 1000, 10, 5, 4, 3, 0, True), (2, "a", "chat", 1000, 20, 5, 3, 0, 0, True), (3, "b", "embeddings", 500, 480, 2, 1, 0, 0, True), (4, "b", "models", 100, 100, 0, 0, 0, 0, False)]
     t = spark.createDataFrame(rows, "seq long, profile string, path string, body long, wire long, refs long, refs_hit long, pushed long, repairs long, split boolean")

@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from enum import IntEnum
+
 LIT, REF = 0, 1
 ZSTD_LEVEL, ZSTD_LEAST, ZSTD_CAP = 3, 512, 64 << 20
 MAX_FRAME = 64 << 20
+#: What a frame is counted as beside its payload.
+FRAME_COST = 12
+
+# fixed values: what frames carry
+Tag = IntEnum(
+    "Tag",
+    """HELLO HELLO_ACK REQUEST_HEAD PROGRAM BLOCK_BYTES BLOCK_PROGRAM NEED BLOOM RESPONSE_HEAD RESPONSE_BODY RESPONSE_END PEER_STATS
+    PING PONG RESET CANCEL END_OF_BODY REQUEST_BODY FAIL PROGRAM_Z BLOCK_BYTES_Z BLOCK_PROGRAM_Z REQUEST_BODY_Z""".split(),
+)
+#: Uploads, and what they are when compressed.
+PACKED = {t: Tag[f"{t.name}_Z"] for t in Tag if f"{t.name}_Z" in Tag.__members__}
+UNPACKED = {z: t for t, z in PACKED.items()}
 
 
 def put_varint(n: int) -> bytes:
@@ -49,10 +64,42 @@ def decode_frames(b: bytes) -> list[tuple[int, int, bytes]]:
         if n > MAX_FRAME:
             raise ValueError("frame too large")
         payload, at = _take(b, at, n)
-        out.append((tag, stream, payload))
+        out.append((Tag(tag), stream, payload))
     return out
 
 
+def upload(tag: Tag, payload: bytes, shrink: bool) -> tuple[Tag, bytes]:
+    """What is sent of an upload: compressed, under the tag that says so, where that pays."""
+    z = compress(payload) if shrink and tag in PACKED else None
+    return (tag, payload) if z is None else (PACKED[tag], z)
+
+
+def received(tag: Tag, payload: bytes) -> tuple[Tag, bytes]:
+    return (UNPACKED[tag], decompress(payload)) if tag in UNPACKED else (tag, payload)
+
+
+def encode_control(fields: dict) -> bytes:
+    """A control message: JSON without its absent members."""
+    return json.dumps({k: v for k, v in fields.items() if v is not None}, separators=(",", ":"), ensure_ascii=False).encode()
+
+
+def decode_control(b: bytes) -> dict:
+    out = json.loads(b)
+    if not isinstance(out, dict):
+        raise ValueError("not an object")
+    return out
+
+
+def encode_bloom(epoch: int, blocks: int, bloom: bytes) -> bytes:
+    return put_varint(epoch) + put_varint(blocks) + bloom
+
+
+def decode_bloom(b: bytes) -> tuple[int, int, bytes]:
+    epoch, at = get_varint(b, 0)
+    blocks, at = get_varint(b, at)
+    return epoch, blocks, b[at:]
+
+
 def encode_program(instrs) -> bytes:
     """instrs: bytes for a literal, (digest, length) for a reference."""
     out = [put_varint(len(instrs))]

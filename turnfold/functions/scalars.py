@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .codec import FRAME_COST
+
 # fixed values: endpoint suffixes in the order they are tried, and headers that a proxy drops
 ENDPOINTS = (("/chat/completions", "chat"), ("/completions", "completions"), ("/responses", "responses"), ("/messages", "messages"), ("/count_tokens", "messages"), ("/embeddings", "embeddings"), ("/models", "models"))
 REQUEST_DROPS = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade", "content-length", "host", "expect")
 RESPONSE_DROPS = ("connection", "keep-alive", "transfer-encoding", "content-length")
-REF_COST, LIT_COST, FRAME_COST, CHUNK = 20, 4, 12, 256 * 1024
+REF_COST, LIT_COST, CHUNK = 20, 4, 256 * 1024
 
 
 def classify(path: Column) -> Column:
@@ -79,6 +81,21 @@ def frame_len(stream: Column, payload: Column) -> Column:
     return F.lit(1) + varint_len(stream) + varint_len(payload) + payload
 
 
+def frame_charge(payload: Column) -> Column:
+    """What a frame is counted as: its payload and a fixed sum for its head."""
+    return payload + FRAME_COST
+
+
+def saved_ratio(wire: Column, body: Column) -> Column:
+    """The share of a body that was not sent; below 0 where more was, 0 for an empty body."""
+    return F.when(body == 0, 0.0).otherwise(1 - wire / body)
+
+
+def control(**fields: Column) -> Column:
+    """A control message: JSON of the columns in their order, without null ones."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
+
+
 def whole_frames(stream: Column, size: Column) -> Column:
     """Encoded bytes of a body sent whole, in chunks."""
     full, rest = F.floor(size / CHUNK), size % CHUNK

@@ -86,3 +86,19 @@ def bodies(conversations: DataFrame) -> DataFrame:
     x = exploded(messages(conversations)).groupBy("conv_id", F.col("req").alias("turn")).agg(F.array_sort(F.collect_list(F.struct("turn", "msg"))).alias("parts"))
     text = F.concat(F.lit(HEAD), F.array_join(F.transform("parts", lambda p: p["msg"]), ","), F.lit(TAIL))
     return x.select("conv_id", "turn", text.alias("body"))
+
+
+def missing_set(refs: DataFrame, inside: DataFrame, held: DataFrame, levels: int = 2) -> DataFrame:
+    """request, digest, len of the blocks a peer must be given, once a request.
+
+    refs: request, digest, len; inside: parent, digest, len of the blocks that a block's program refers to;
+    held: digests the peer has, which are not looked into. The splitter nests programs once: two levels.
+    """
+    inside = inside.distinct()
+    level = refs.distinct().join(held, "digest", "left_anti").select("request", "digest", "len")
+    out = level
+    for _ in range(levels - 1):
+        level = level.select("request", F.col("digest").alias("parent")).join(inside, "parent").select("request", "digest", "len")
+        level = level.join(held, "digest", "left_anti").select("request", "digest", "len")
+        out = out.union(level)
+    return out.distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -29,6 +30,7 @@ class Store:
     stored: int = 0
     evictions: int = 0
     rejected: int = 0
+    forget: Callable = lambda digest: None  # told of each block that a prune drops
 
     def insert(self, digest, size: int, now: int, sound: bool = True) -> bool:
         if not sound or size > self.max_block:
@@ -76,9 +78,27 @@ class Store:
             freed, count = freed + n, count + 1
         for d in gone:
             self.size -= self.entries.pop(d)[0]
+            self.forget(d)
         self.evictions += len(gone)
 
 
+class Blocks(dict):
+    """Blocks by digest without a bound: digest -> (kind, size, block)."""
+
+    def put(self, digest: bytes, kind: int, size: int, block) -> bool:
+        """Whether the digest is new; a known one is written over."""
+        new = digest not in self
+        self[digest] = (kind, size, block)
+        return new
+
+    def remove(self, *digests: bytes) -> int:
+        return sum(self.pop(d, None) is not None for d in digests)
+
+    @property
+    def bytes(self) -> int:
+        return sum(size for _, size, _ in self.values())
+
+
 def pruned(entries: DataFrame, max_bytes: int, max_blocks: int, ttl: int, now: int, peer: str = "peer") -> DataFrame:
     """entries (peer, digest, len, seq, at) with what one prune does to each: expired, evicted or kept.
 

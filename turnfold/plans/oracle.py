@@ -106,6 +106,30 @@ ORACLE_SQL = {
       FROM g LEFT JOIN prog ON prog.seq = g.seq LEFT JOIN blk ON blk.fs = g.seq""",
     "resolve_identity": _M + """ SELECT conv_id, req AS turn, 'ok' AS status, sha256('{"model":"m","messages":[' || string_agg(msg, ',' ORDER BY turn) || ']}') AS sha FROM e WHERE split GROUP BY conv_id, req""",
     "missing_blocks": _M + " SELECT sha256(msg) AS sha, max(len) AS len FROM x WHERE big AND msg NOT IN (SELECT msg FROM x WHERE big AND conv_id % 3 <> 0) GROUP BY msg",
+    "missing_closure": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, '"data:text/plain;base64,' || to_base64(encode(coalesce(text, ''))) || '"' AS media FROM documents WHERE doc_id IS NOT NULL),
+      z AS (SELECT doc_id, t, strlen('{"role":"user","content":"note ' || doc_id || repeat('x', 200) || '"}') AS note, strlen('{"role":"user","content":[{"type":"image_url","url":' || media || '}]}') AS item, strlen(media) AS media FROM d),
+      y AS (SELECT *, item >= 128 AND t NOT IN (SELECT t FROM z WHERE doc_id % 3 = 1) AS no_item FROM z),
+      w AS (SELECT *, no_item AND media >= 4096 AND t NOT IN (SELECT t FROM z WHERE doc_id % 3 = 2) AS no_media FROM y)
+      SELECT doc_id AS request, 1 + no_item::BIGINT + no_media::BIGINT AS blocks, (note + CASE WHEN no_item THEN item ELSE 0 END + CASE WHEN no_media THEN media ELSE 0 END)::BIGINT AS bytes FROM w""",
+    "rebuild_status": _M + """, b AS (SELECT msg, min(conv_id) AS c FROM x WHERE big GROUP BY msg),
+      q AS (SELECT DISTINCT e.conv_id, e.req, e.msg, e.len, e.big AND c % 3 = 0 AS lost, e.big AND c % 3 <> 0 AND c % 7 = 3 AS spoilt FROM e LEFT JOIN b ON b.msg = e.msg WHERE e.split),
+      r AS (SELECT conv_id, req AS turn, count(*) FILTER (lost) AS resent, coalesce(sum(len) FILTER (lost), 0)::BIGINT AS resent_bytes, count(*) FILTER (spoilt) AS bad FROM q GROUP BY ALL)
+      SELECT conv_id, turn, CASE WHEN resent > 0 THEN 'missing' WHEN bad = 0 THEN 'ok' ELSE 'mismatch' END AS status, resent, resent_bytes, CASE WHEN bad = 0 THEN 'rebuilt' ELSE 'whole' END AS outcome FROM r""",
+    "link_charges": _PROGRAM + f""", blk AS (SELECT fs, sum(12 + 17 + {_VAR('len')} + len)::BIGINT AS push FROM f GROUP BY fs)
+      SELECT g.conv_id, g.turn, (24 + CASE WHEN g.split THEN program_bytes + coalesce(push, 0) ELSE g.body END)::BIGINT AS charge
+      FROM g LEFT JOIN prog ON prog.seq = g.seq LEFT JOIN blk ON blk.fs = g.seq""",
+    "peer_views": _M + """, v AS (SELECT DISTINCT conv_id % 3 AS peer, conv_id % 6 AS profile, msg, len FROM x WHERE big AND conv_id IN (SELECT conv_id FROM x WHERE split))
+      SELECT peer, count(*) AS pushes_apart, count(DISTINCT msg) AS pushes_shared, (sum(len) - (SELECT sum(len) FROM (SELECT DISTINCT peer AS p, msg, len FROM v) u WHERE u.p = v.peer))::BIGINT AS bytes_saved FROM v GROUP BY peer""",
+    "saved_ratios": _T + " SELECT seq, CASE WHEN body = 0 THEN 0.0 ELSE 1 - wire::DOUBLE / body END AS saved_ratio FROM t",
+    "control_frames": _T + f""", c AS (SELECT seq, CASE outcome WHEN 'rebuild failed' THEN 19 ELSE 11 END::BIGINT AS tag, CASE outcome WHEN 'rebuild failed' THEN '{{"reason":"' || outcome || '","clear_presence":' || (repairs > 0) || '}}'
+      ELSE '{{"wire_bytes":' || wire || ',"body_bytes":' || body || ',"upstream_us":' || upstream_us || ',"repairs":' || repairs || ',"store_blocks":' || pushed || ',"store_bytes":' || pushed * 300 || '}}' END AS payload FROM t)
+      SELECT seq, tag, payload, (1 + {_VAR('seq')} + {_VAR('strlen(payload)')} + strlen(payload))::BIGINT AS frame_bytes, true AS same FROM c""",
+    "json_validate": """SELECT event_id, json_valid(props) AS valid, json_valid(left(props, length(props) - 1)) AS cut, json_valid(regexp_replace(props, ':', ':0')) AS spoilt FROM events""",
+    "codec_roundtrip": f"""WITH n AS (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents),
+      l AS (SELECT doc_id, n, least(n, 10) AS a, greatest(least(n, 30) - 10, 0) AS b FROM n),
+      p AS (SELECT doc_id, 17 + {_VAR('n')} + n AS block, 1 + CASE WHEN a > 0 THEN 2 + a ELSE 0 END + 17 + {_VAR('n')} + CASE WHEN b > 0 THEN 2 + b ELSE 0 END AS program FROM l)
+      SELECT doc_id, (2 + 2 * {_VAR('doc_id')} + {_VAR('program')} + program + {_VAR('block')} + block)::BIGINT AS n_bytes, true AS same FROM p""",
+    "stream_presence": """SELECT (user_id % 4)::VARCHAR AS peer, count(*) AS refs, count(*) - count(DISTINCT event_type) AS refs_hit, (100 * count(DISTINCT event_type))::BIGINT AS pushed_bytes FROM events GROUP BY 1""",
     "payload_containment": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
       z AS (SELECT doc_id, length(line) AS n, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT - length(line) - 1 AS a FROM l),
       y AS (SELECT doc_id, n, a, a + n AS b, a // 1000 AS cell FROM z),

@@ -17,6 +17,7 @@ from ..operators import replay as R
 from ..operators import splitting as P
 from ..operators import store as B
 from ..operators import turns as T
+from ..operators.link import Link, Peer
 from ..sources.tables import ledger, table
 
 RING = 200
@@ -216,6 +217,46 @@ def missing_blocks(spark, sf):
     return m.join(m.filter("conv_id % 3 <> 0").select("sha").distinct(), "sha", "left_anti").groupBy("sha").agg(F.max("len").alias("len"))
 
 
+def rebuild_status(spark, sf):
+    """What a peer makes of each split request, held against its declared length and digest.
+
+    The peer lost the blocks first sent in every third conversation, and asks for them once; others are spoilt.
+    A body that still isn't the declared one goes whole.
+    """
+    blocks = R.messages(_talk(spark, sf)).filter("big").groupBy("digest").agg(F.min("conv_id").alias("c"), F.first("msg").alias("block"))
+    lost, spoilt = F.col("c") % 3 == 0, F.col("c") % 7 == 3
+    blocks = blocks.select("digest", lost.alias("lost"), F.when(spoilt & ~lost, F.reverse("block")).otherwise(F.col("block")).alias("block"))
+    x = _instrs(spark, sf).join(blocks, "digest", "left")
+    part = F.struct("turn", "msg", F.when(F.col("big"), F.col("block")).otherwise(F.col("msg")).alias("built"))
+    x = x.groupBy("conv_id", F.col("req").alias("turn")).agg(F.array_sort(F.collect_list(part)).alias("p"), F.collect_set(F.when(F.col("big") & F.col("lost"), F.struct("digest", "len"))).alias("need"))
+    text = lambda c: F.concat(F.lit(R.HEAD), F.array_join(F.transform("p", lambda q: q[c]), ","), F.lit(R.TAIL))
+    x = x.withColumns({"declared": text("msg"), "built": text("built")})
+    same = (F.octet_length("declared") == F.octet_length("built")) & (F.sha2("declared", 256) == F.sha2("built", 256))
+    again = F.aggregate("need", F.lit(0).cast("long"), lambda n, y: n + y["len"])
+    return x.select(
+        "conv_id", "turn", F.when(F.size("need") > 0, "missing").when(same, "ok").otherwise("mismatch").alias("status"), F.size("need").cast("long").alias("resent"),
+        again.alias("resent_bytes"), F.when(same, "rebuilt").otherwise("whole").alias("outcome"),
+    )
+
+
+def link_charges(spark, sf):
+    """What each request is counted as on the link: the charges of its program, new blocks and end, or of its whole body and end."""
+    m = R.messages(_talk(spark, sf))
+    block = 16 + 1 + S.varint_len(F.col("len")) + F.col("len")
+    pushed = R.first_use(m).groupBy(F.col("first.conv_id").alias("conv_id"), F.col("first.turn").alias("turn")).agg(F.sum(S.frame_charge(block)).cast("long").alias("push"))
+    out = m.select("conv_id", "turn", "body", "split").join(program_sizes(spark, sf), ["conv_id", "turn"], "left").join(pushed, ["conv_id", "turn"], "left")
+    sent = F.when(F.col("split"), S.frame_charge(F.col("program_bytes")) + F.coalesce(F.col("push"), F.lit(0))).otherwise(S.frame_charge(F.col("body")))
+    return out.select("conv_id", "turn", (sent + S.frame_charge(F.lit(0))).cast("long").alias("charge"))
+
+
+def peer_views(spark, sf):
+    """Pushes of two profiles a peer: each with a view of its own, and sharing the peer's."""
+    m = R.messages(_talk(spark, sf)).filter("big and cut is not null").withColumn("profile", F.col("conv_id") % 6)
+    own = m.groupBy((F.col("profile") % 3).alias("peer"), "profile", "digest").agg(F.max("len").alias("len"))
+    each = own.groupBy("peer", "digest").agg(F.count("*").alias("n"), F.max("len").alias("len"))
+    return each.groupBy("peer").agg(F.sum("n").alias("pushes_apart"), F.count("*").alias("pushes_shared"), F.sum((F.col("n") - 1) * F.col("len")).alias("bytes_saved"))
+
+
 def payload_containment(spark, sf):
     """Long lines inside documents' paragraphs: an interval join within each document."""
     d = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
@@ -237,6 +278,23 @@ def turn_ledger(spark, sf):
     return t.select("seq", "profile", "path", "body", "wire", saved.alias("saved"), S.basis_points(saved, F.col("body")).alias("saved_bp"))
 
 
+def saved_ratios(spark, sf):
+    """The share of each turn's body that was not sent, unclipped."""
+    t = ledger(spark, sf)
+    return t.select("seq", S.saved_ratio(F.col("wire"), F.col("body")).alias("saved_ratio"))
+
+
+def control_frames(spark, sf):
+    """The message that ends each turn, its frame's bytes, and whether it reads back."""
+    t = ledger(spark, sf)
+    end = S.control(wire_bytes=F.col("wire"), body_bytes=F.col("body"), upstream_us=F.col("upstream_us"), repairs=F.col("repairs"), store_blocks=F.col("pushed"), store_bytes=F.col("pushed") * 300)
+    failed = F.col("outcome") == "rebuild failed"
+    fail = S.control(reason=F.col("outcome"), clear_presence=F.col("repairs") > 0)
+    t = t.select("seq", F.when(failed, int(codec.Tag.FAIL)).otherwise(int(codec.Tag.RESPONSE_END)).cast("long").alias("tag"), F.when(failed, fail).otherwise(end).alias("payload"))
+    read = F.from_json("payload", "wire_bytes long, body_bytes long, upstream_us long, repairs long, store_blocks long, store_bytes long, reason string, clear_presence boolean")
+    return t.select("seq", "tag", "payload", S.frame_len(F.col("seq"), F.octet_length("payload")).cast("long").alias("frame_bytes"), (F.to_json(read) == F.col("payload")).alias("same"))
+
+
 def turn_counters(spark, sf):
     return T.snapshot(ledger(spark, sf))
 
@@ -387,44 +445,103 @@ def json_validate(spark, sf):
     return _mapped(table(spark, sf, "events").select("event_id", "props"), one, "event_id long, valid boolean, cut boolean, spoilt boolean")
 
 
-def _agents(spark, sf) -> DataFrame:
-    """peer, seq, body of bodies with nested payloads: documents as media in messages, and as themselves.
-    A null text counts as empty; short bodies are left to the operator's own gate."""
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 16).alias("peer"), F.col("doc_id").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
+def _parts(spark, sf) -> DataFrame:
+    """seq, text and the messages note, item and media (a string inside the item) made of each document; a null text counts as empty."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
     media = F.concat(F.lit("data:text/plain;base64,"), F.regexp_replace(F.base64(F.encode("text", "utf-8")), r"\s", ""))
     item = F.to_json(F.struct(F.lit("user").alias("role"), F.array(F.struct(F.lit("image_url").alias("type"), media.alias("url"))).alias("content")))
     note = F.to_json(F.struct(F.lit("user").alias("role"), F.concat(F.lit("note "), F.col("seq").cast("string"), F.lit("x" * 200)).alias("content")))
-    body = F.concat(F.lit('{"model":"m","messages":['), note, F.lit(","), item, F.lit("]}"))
-    return d.select("peer", "seq", F.when(F.col("seq") % 4 == 0, F.col("text")).otherwise(body).alias("body"))
+    return d.select("seq", "text", note.alias("note"), item.alias("item"), F.concat(F.lit('"'), media, F.lit('"')).alias("media"))
+
+
+def _agents(spark, sf) -> DataFrame:
+    """peer, seq, body of bodies with nested payloads: documents as media in messages, and as themselves.
+    Short bodies are left to the operator's own gate."""
+    body = F.concat(F.lit('{"model":"m","messages":['), "note", F.lit(","), "item", F.lit("]}"))
+    return _parts(spark, sf).select((F.col("seq") % 16).alias("peer"), "seq", F.when(F.col("seq") % 4 == 0, F.col("text")).otherwise(body).alias("body"))
+
+
+def missing_closure(spark, sf):
+    """What peers must be given for programs of nested blocks: they have the items of every third document, so
+    those are not looked into, and the media of the next ones."""
+    p = P.Policy()
+    d = _parts(spark, sf).filter("seq is not null")
+    size = lambda c: F.octet_length(c).cast("long").alias("len")
+    d = d.withColumns({"item_is": F.octet_length("item") >= p.min_history, "media_is": F.octet_length("media") >= p.min_payload})
+    d = d.withColumns({"item_d": S.digest(P.MEMBER, F.col("item")), "media_d": S.digest(P.MEDIA, F.col("media"))})
+    notes = d.select(F.col("seq").alias("request"), S.digest(P.MEMBER, F.col("note")).alias("digest"), size("note"))
+    refs = notes.union(d.filter("item_is").select("seq", "item_d", size("item")))
+    inside = d.filter("media_is").select(F.col("item_d").alias("parent"), F.col("media_d").alias("digest"), size("media"))
+    held = d.filter("item_is and seq % 3 = 1").select(F.col("item_d").alias("digest")).union(d.filter("media_is and seq % 3 = 2").select("media_d")).distinct()
+    return R.missing_set(refs, inside, held).groupBy("request").agg(F.count("*").alias("blocks"), F.sum("len").alias("bytes"))
 
 
 SPLIT = "peer long, seq long, reason string, body_len long, instrs long, refs long, refs_hit long, refs_new long, covered long, push_blocks long, push_bytes long, wire_model long, wire_frames long, wire_zstd long, identical boolean"
 
 
-def sequential(requests: DataFrame, policy: P.Policy) -> DataFrame:
-    """Replay in order, exact where requests depend on one another: a session for each peer, rows streamed
-    through it in the order of seq. requests: peer, seq, body."""
-    names = [x.split()[0] for x in SPLIT.split(", ")]
+def ordered(requests: DataFrame, start, one, schema: str) -> DataFrame:
+    """start() makes a peer's state; one(state, body) gives the columns of a request after peer and seq. Rows of
+    a peer stream through its state in the order of seq. requests: peer, seq, body."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        peer = session = None
+        peer = state = None
         for x in batches:
             out = []
             for p, seq, body in zip(x.peer, x.seq, x.body, strict=True):
-                if p != peer:
-                    peer, session, blocks = p, P.Session(policy), {}
-                b = body.encode()
-                reason, program, push, s = session.split(b)
-                blocks |= push
-                try:
-                    same = P.resolve(blocks, program) == b and codec.decode_program(codec.encode_program(program)) == program
-                except P.Rebuild:
-                    same = False
-                size = [P.wire_frames(program, push, z) if reason is None else len(codec.encode_frame(3, 1, (codec.compress(b) or b) if z else b)) for z in (False, True)]
-                out.append((p, seq, reason, len(b), s.instrs, s.refs, s.refs_hit, s.refs_new, s.ref_covered, s.push_blocks, s.push_bytes, s.wire if reason is None else len(b), *size, same))
+                if state is None or p != peer:
+                    peer, state = p, start()
+                out.append((p, seq, *one(state, body.encode())))
             yield pd.DataFrame(out, columns=names)
 
-    return requests.select("peer", "seq", "body").repartition("peer").sortWithinPartitions("peer", "seq").mapInPandas(run, SPLIT)
+    return requests.select("peer", "seq", "body").repartition("peer").sortWithinPartitions("peer", "seq").mapInPandas(run, schema)
+
+
+def sequential(requests: DataFrame, policy: P.Policy) -> DataFrame:
+    """Replay in order, exact where requests depend on one another: a session for each peer."""
+
+    def one(state, b: bytes) -> tuple:
+        session, blocks = state
+        reason, program, push, s = session.split(b)
+        blocks |= push
+        try:
+            same = P.resolve(blocks, program) == b and codec.decode_program(codec.encode_program(program)) == program
+        except P.Rebuild:
+            same = False
+        size = [P.wire_frames(program, push, z) if reason is None else len(codec.encode_frame(codec.Tag.REQUEST_HEAD, 1, (codec.compress(b) or b) if z else b)) for z in (False, True)]
+        return (reason, len(b), s.instrs, s.refs, s.refs_hit, s.refs_new, s.ref_covered, s.push_blocks, s.push_bytes, s.wire if reason is None else len(b), *size, same)
+
+    return ordered(requests, lambda: (P.Session(policy), {}), one, SPLIT)
+
+
+def repair_protocol(spark, sf):
+    """Each agent's requests over a link to a peer with a small store, which asks again for what it let go of."""
+
+    def start() -> Link:
+        return Link(P.Session(P.Policy(min_body=1024)), Peer(B.Store(max_bytes=40_000, max_blocks=24, max_block=30_000, ttl=0)))
+
+    def one(link: Link, b: bytes) -> tuple:
+        x = link.send(b)
+        return x.outcome, x.reason, len(b), x.repairs, x.resent, x.wire, x.body == b
+
+    return ordered(_again(spark, sf), start, one, "peer long, seq long, outcome string, reason string, body_len long, repairs long, resent long, wire long, identical boolean")
+
+
+def _again(spark, sf) -> DataFrame:
+    """Every agent's requests, and each of them once more, 40 requests later."""
+    a = _agents(spark, sf)
+    return a.select("peer", (F.col("seq") * 2).alias("seq"), "body").union(a.select("peer", (F.col("seq") * 2 + 1 + 40 * 16 * 2).alias("seq"), "body"))
+
+
+def doctor(spark, sf):
+    """The engine on four growing turns of its own: sizes, references and whether the bodies come back."""
+    said = [f'{{"role":"user","content":"turn {i} {"well " * 80}"}}' if i % 5 else f'{{"role":"user","content":[{{"type":"image_url","url":"data:image/png;base64,{"Q" * 20_000}"}}]}}' for i in range(12)]
+    link, rows = Link(compress=False), []
+    for turn in range(1, 5):
+        body = ('{"model":"m","messages":[' + ",".join(said[: 3 * turn]) + "]}").encode()
+        x = link.send(body)
+        rows.append((turn, len(body), x.wire, x.outcome, x.body == body))
+    return spark.createDataFrame(rows, "turn long, body_len long, wire long, outcome string, identical boolean")
 
 
 def structural_split(spark, sf):
@@ -461,7 +578,7 @@ def cdc_chunks(spark, sf):
         for n, (s, e) in enumerate(cdc.cuts(b, CDC_SMALL.cdc_min, CDC_SMALL.cdc_max, CDC_SMALL.cdc_bits)):
             yield i, n, s, e, P.digest(P.CHUNK, b[s:e]).hex()
 
-    return _mapped(table(spark, sf, "documents").filter(F.octet_length("text") >= 4096).select("doc_id", "text"), one, "doc_id long, chunk long, start long, end long, digest string")
+    return _mapped(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit(""))), one, "doc_id long, chunk long, start long, end long, digest string")
 
 
 def cdc_dedup(spark, sf):
@@ -475,11 +592,11 @@ def codec_roundtrip(spark, sf):
         b = text.encode()
         program = P.normal([b[:10], (P.digest(0, b), len(b)), b[10:30]])
         block = codec.encode_block(P.digest(0, b), 0, len(b), b)
-        frames = codec.encode_frame(1, i, codec.encode_program(program)) + codec.encode_frame(2, i, block)
+        frames = codec.encode_frame(codec.Tag.PROGRAM, i, codec.encode_program(program)) + codec.encode_frame(codec.Tag.BLOCK_BYTES, i, block)
         got = codec.decode_frames(frames)
         yield i, len(frames), codec.decode_program(got[0][2]) == program and codec.decode_block(got[1][2]) == (P.digest(0, b), 0, len(b), b)
 
-    return _mapped(table(spark, sf, "documents").select("doc_id", "text"), one, "doc_id long, n_bytes long, same boolean")
+    return _mapped(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit(""))), one, "doc_id long, n_bytes long, same boolean")
 
 
 def stream_presence(spark: SparkSession, sf: str) -> DataFrame:
@@ -488,7 +605,10 @@ def stream_presence(spark: SparkSession, sf: str) -> DataFrame:
 
     e = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     refs = e.select((F.col("user_id") % 4).cast("string").alias("peer"), F.col("event_id").alias("seq"), "event_type", "value").selectExpr("peer", "seq", "event_type as digest", "cast(100 as long) as len")
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/turnfold-stream"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    at = at or f"file://{tempfile.gettempdir()}/turnfold-stream"
     name = f"presence_{uuid.uuid4().hex}"
     q = presence(refs).writeStream.format("parquet").option("path", f"{at}/{name}").option("checkpointLocation", f"{at}/{name}-state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -498,7 +618,7 @@ def stream_presence(spark: SparkSession, sf: str) -> DataFrame:
 
 NAMES = """classify_paths gate_reasons skip_labels inflation_guard header_filter response_header_filter header_auth query_params human_sizes hex_digests
 message_blocks first_seen_refs push_set split_stats replay_rows replay_topn replay_totals presence_probe whole_doc_dedup cross_agent_sharing epoch_reset shadow_estimate
-program_sizes wire_frames_exact resolve_identity missing_blocks payload_containment turn_ledger turn_counters buckets_by_path buckets_by_profile summary_line
+program_sizes wire_frames_exact link_charges resolve_identity rebuild_status repair_protocol doctor missing_blocks missing_closure peer_views saved_ratios control_frames payload_containment turn_ledger turn_counters buckets_by_path buckets_by_profile summary_line
 prometheus_lines ring_recent ring_buckets sparkline_points lru_prune ttl_eviction store_stats store_simulation bloom_membership json_spans json_validate structural_split
 nested_payload_split zstd_frames replay_sequential cdc_chunks cdc_dedup codec_roundtrip stream_presence""".split()
 QUERIES = {n: globals()[n] for n in NAMES}

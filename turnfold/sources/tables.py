@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from pathlib import Path
 
@@ -59,9 +60,19 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("wire", F.when(F.col("split"), 60 + F.floor(F.col("body") / 10) + F.col("pushed") * 300).otherwise(F.col("body") + 40).cast("long"))
 
 
+@dataclass(frozen=True)
+class Profile:
+    name: str = "default"
+    listen: str = "127.0.0.1:8787"
+    peer: str = "127.0.0.1:8788"
+    tls: bool = False
+    tls_ca_file: str | None = None
+
+
 @dataclass(frozen=True)
 class Config:
     role: str = "local"
+    enabled: bool = True
     min_body: int = 4096
     max_body: int = 512 << 20
     max_bytes: int = 200 << 20
@@ -69,20 +80,46 @@ class Config:
     token: str = ""
     shadow: bool = False
     compress: bool = True
+    tls: bool = False
+    upstream: str = "http://127.0.0.1"
+    profiles: tuple[Profile, ...] = (Profile(),)
 
-    def check(self) -> None:
+    def problems(self) -> Iterator[str]:
+        """What would silently do something else than was meant."""
         if self.role not in ("local", "remote"):
-            raise ValueError("role must be local or remote")
+            yield "role must be local or remote"
+        if self.role == "remote":
+            if not self.upstream.startswith(("http://", "https://")):
+                yield "upstream must be an http or https address"
+            if self.tls and not self.token:
+                yield "tls proves nothing without a token"
+        if self.role == "local":
+            if not self.enabled:
+                yield "without splitting the local end only passes bodies on"
+            for p in self.profiles:
+                if p.listen == p.peer:
+                    yield f"profile {p.name} listens on its own peer"
+                if p.tls and not p.tls_ca_file:
+                    yield f"profile {p.name} has tls without a certificate file"
+            if len({p.listen for p in self.profiles}) < len(self.profiles):
+                yield "two profiles listen on one address"
         if self.token and len(self.token) < 16:
-            raise ValueError("a token has 16 characters at least")
+            yield "a token has 16 characters at least"
         if self.max_block > self.max_bytes:
-            raise ValueError("a block must fit into the store")
+            yield "a block must fit into the store"
+
+    def check(self) -> None:
+        for problem in self.problems():
+            raise ValueError(problem)
 
 
 def load_config(path: str) -> Config:
     """JSON by its suffix, TOML otherwise; unknown names are ignored."""
     raw = Path(path).read_bytes()
     values = json.loads(raw) if path.endswith(".json") else tomllib.loads(raw.decode())
-    out = Config(**{f.name: values[f.name] for f in fields(Config) if f.name in values})
+    own = lambda kind, given: {f.name: given[f.name] for f in fields(kind) if f.name in given}
+    if "profiles" in values:
+        values["profiles"] = tuple(Profile(**own(Profile, x)) for x in values["profiles"])
+    out = Config(**own(Config, values))
     out.check()
     return out
