@@ -27,12 +27,15 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def inverted(u: Column, mean: Column) -> Column:
-    """The Poisson quantile of u for a mean of at most PART: how many sums of probabilities u reaches."""
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).alias("n"))
+    """The Poisson quantile of u for a mean of at most PART: how many sums of probabilities u reaches.
+
+    u and the mean are carried along: an expression inside a step would be worked out again in each one.
+    """
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).alias("n"), u.alias("u"), mean.alias("mean"))
 
     def step(s: Column, k: Column) -> Column:
-        p = s["p"] * mean / k
-        return F.struct(p.alias("p"), (s["cdf"] + p).alias("cdf"), (s["n"] + (u >= s["cdf"]).cast("int")).alias("n"))
+        p = s["p"] * s["mean"] / k
+        return F.struct(p.alias("p"), (s["cdf"] + p).alias("cdf"), (s["n"] + (s["u"] >= s["cdf"]).cast("int")).alias("n"), s["u"].alias("u"), s["mean"].alias("mean"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(TAIL)), start, step, lambda s: s["n"])
 
@@ -80,9 +83,10 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, po
     key, rate, n, copy = names["_u_key"], F.col(names["_rate"]), names["_n"], names["_copy"]
     out = out.drop(names["_mix_source"]).withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     parts = F.greatest(F.lit(1), F.ceil(rate / PART).cast("int"))
-    draw = lambda acc, j: acc + inverted(uniform(seed, F.col(key), j), rate / parts)
-    out = out.withColumn(n, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), draw)).filter(F.col(n) > 0)
-    out = out.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    draws = lambda k: F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, j: acc + inverted(uniform(seed, k, j), rate / parts))
+    # the key, which reads the whole text, is bound once a row, and the count is named once, so that neither is worked out again
+    out = out.withColumn(n, F.get(F.transform(F.array(F.col(key)), draws), F.lit(0)))
+    out = out.withColumn(copy, F.explode(F.slice(F.sequence(F.lit(-1), F.col(n) - 1), 2, 1 << 30)))
     where = F.xxhash64(F.lit(seed), F.col(key), F.col(copy))
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = out.withColumn(key, where).repartition(spread, key).sortWithinPartitions(key, copy)
