@@ -116,9 +116,8 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 row, keys = pa.array(first + x.doc), x.half_keys()
                 cols = [batch.column(0).take(row), batch.column(1).take(row), pa.array(x.number), pa.array(x.hashes()), B.lists(keys.ravel(), np.full(len(keys), 4))]
                 yield pa.RecordBatch.from_arrays(cols, names=["k", "doc_id", "line", "h", "keys"])
-        pa.default_memory_pool().release_unused()
 
-    return docs.select("_k", "doc_id", "text").mapInArrow(run, "k long, doc_id long, line int, h long, keys array<long>")
+    return C.mapped(docs.select("_k", "doc_id", "text"), run, "k long, doc_id long, line int, h long, keys array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -129,7 +128,7 @@ def _texts(docs: DataFrame) -> DataFrame:
             for _, x in _chunked(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(x.hashes()), pa.array(x.texts(), pa.string())], names=["h", "line_text"])
 
-    return docs.select("text").mapInArrow(run, "h long, line_text string")
+    return C.mapped(docs.select("text"), run, "h long, line_text string")
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
@@ -147,7 +146,7 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
                     held, n = [], 0
             yield from _sliced(held)
 
-    return lines.select("id", "line_text").mapInArrow(run, "v long, p long")
+    return C.mapped(lines.select("id", "line_text"), run, "v long, p long")
 
 
 def _sliced(held: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +173,7 @@ def _confirmed(pairs: DataFrame) -> DataFrame:
             on = [one_edit(a.as_py(), b.as_py()) for a, b in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(on, pa.bool_()))], names=["h"])
 
-    return pairs.select("h", "one", "two").mapInArrow(run, "h long")
+    return C.mapped(pairs.select("h", "one", "two"), run, "h long")
 
 
 def _near(docs: DataFrame, occ: DataFrame, firsts: DataFrame) -> DataFrame:

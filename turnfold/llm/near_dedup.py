@@ -138,9 +138,8 @@ def _mapped_bits(sets: DataFrame) -> DataFrame:
             on, fon = (pa.array(np.bitwise_count(x).sum(axis=1, dtype=np.int64)) for x in (words, fold))
             cols = [batch.column(0), B.lists(words.view(np.int64).ravel(), np.full(len(lists), MAP_BITS // 64)), on, fon, *(pa.array(x) for x in fold.view(np.int64).T.copy())]
             yield pa.RecordBatch.from_arrays(cols, names=["node", "map", "on", "fon", *FOLDS])
-        pa.default_memory_pool().release_unused()
 
-    return sets.select("node", "items").mapInArrow(run, "node long, map array<long>, on long, fon long, " + ", ".join(f"{f} long" for f in FOLDS))
+    return C.mapped(sets.select("node", "items"), run, "node long, map array<long>, on long, fon long, " + ", ".join(f"{f} long" for f in FOLDS))
 
 
 def _set_hash(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -167,9 +166,8 @@ def _mapped(docs: DataFrame, width: int, with_sets: bool) -> DataFrame:
                     cols.append(B.lists(keys.view(np.int64).ravel(), np.full(len(counts), BANDS)))
                 yield pa.RecordBatch.from_arrays(cols, names=["_k", "doc_id", "n", "node", "items"])
                 at += len(counts)
-        pa.default_memory_pool().release_unused()
 
-    return docs.select("_k", "doc_id", "text").mapInArrow(run, "_k long, doc_id long, n long, node long, items array<long>")
+    return C.mapped(docs.select("_k", "doc_id", "text"), run, "_k long, doc_id long, n long, node long, items array<long>")
 
 
 def _verified(pairs: DataFrame, n: int, sets: DataFrame, percent: int) -> DataFrame:

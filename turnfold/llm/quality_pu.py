@@ -136,7 +136,7 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> np.ndarray:
                 x = features(c.data, c.offs)
                 yield pa.RecordBatch.from_arrays([B.lists(x.ravel(), np.full(len(x), N_FEATURES), pa.float32())], names=["x"])
 
-    some = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(run, "x array<float>")
+    some = C.mapped(docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text"), run, "x array<float>")
     got = some.toArrow().column("x")
     return np.asarray(got.combine_chunks().flatten() if len(got) else [], np.float32).reshape(-1, N_FEATURES)
 
@@ -159,7 +159,7 @@ def scored(docs: DataFrame, model: Fitted, keep: list[str] | None = None) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(x) if x else np.zeros(0))], names=[*keep, name])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"{name} double"])
-    return docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text")).mapInArrow(run, schema)
+    return C.mapped(docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text")), run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -210,8 +210,7 @@ def sentencepiece_encode(docs: DataFrame, model: str, keep: list[str] | None = N
                 yield pa.RecordBatch.from_arrays([*(x.slice(at, n) for x in batch.columns[: len(keep)]), pa.array(counts), B.lists(flat, counts, pa.int32()), pa.array(same)], names=[*keep, "n_tokens", "ids", "roundtrip"])
                 at += n
         own.older = {}  # the worker lives on; half of its memory is enough for the next task
-        pa.default_memory_pool().release_unused()
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long", "ids array<int>", "roundtrip boolean"])
     text = C.F.col("text").cast("string")
-    return docs.select(*[C.F.col(c) for c in keep], text.alias("_text")).mapInArrow(encode, schema)
+    return C.mapped(docs.select(*[C.F.col(c) for c in keep], text.alias("_text")), encode, schema)
