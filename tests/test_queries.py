@@ -1,3 +1,5 @@
+import random
+import time
 from collections import Counter
 
 import duckdb
@@ -11,6 +13,7 @@ from turnfold.operators.turns import buckets
 from turnfold.plans import queries
 from turnfold.plans.registry import ORACLE_SQL, QUERIES
 from turnfold.sources.tables import captures, table
+from turnfold.streaming.presence import presence, requests, step
 
 TABLES = ("orders", "customer", "events", "documents", "conversations")
 
@@ -180,6 +183,60 @@ def test_replay_is_dealt_by_conversation(spark, sf):
     assert "RepartitionByExpression [conv_id" in below and "RepartitionByExpression [peer" not in plan
 
 
+def test_stream_of_one_peer_is_not_one_loop(spark, tmp_path, sf):
+    """Many events of one peer, and such as have no type, number or user."""
+    folder, n = str(tmp_path), 200_000
+    e = spark.range(n).selectExpr("id", "id % 1000 * 4 as user_id", "concat('t', id % 7) as event_type")
+    odd = spark.createDataFrame([(-1, 8, None), (-2, None, "t1"), (-3, None, None), (None, 3, "t1"), (None, 3, "t1"), (None, 3, "t2"), (-4, 7, "")], "id long, user_id long, event_type string")
+    like = table(spark, sf, "events")
+    e = e.union(odd).withColumnRenamed("id", "event_id")
+    e.selectExpr("event_id", "timestamp '2024-01-01' as ts", "user_id", "event_type", "1.5D as value", "'' as props").select(like.columns).write.parquet(f"{folder}/events.parquet")
+    began = time.monotonic()
+    got = {r.peer: (r.refs, r.refs_hit, r.pushed_bytes) for r in QUERIES["stream_presence"](spark, folder).collect()}
+    assert time.monotonic() - began < 60
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    names = [d[0] for d in con.execute(ORACLE_SQL["stream_presence"]).description]
+    want = [dict(zip(names, x)) for x in con.execute(ORACLE_SQL["stream_presence"]).fetchall()]
+    assert got == {w["peer"]: (w["refs"], w["refs_hit"], w["pushed_bytes"]) for w in want} and len(got) == 3
+
+
+def test_stream_knows_resets_and_earlier_batches(spark, tmp_path):
+    rng, schema = random.Random(5), "peer string, seq long, digest string, len long, reset boolean"
+    batches = []
+    for b in range(4):
+        batches.append([])
+        for seq in rng.sample(range(b * 250_000, (b + 1) * 250_000), 60):
+            peer = rng.choice(["a", "b", None])
+            if rng.random() < 0.1:
+                batches[-1].append((peer, seq, None, None, True))
+            for d in rng.choices(["x", "y", "z", "u", "v", "w", None], k=rng.randint(0, 4)):
+                batches[-1].append((peer, seq, d, d and ord(d), None if d == "x" else False))
+    known, want = {}, {}
+    for rows in batches:
+        turns = {}
+        for peer, seq, d, n, reset in rows:
+            turns.setdefault((seq, peer), []).append((d, n, reset))
+        for (seq, peer), turn in sorted(turns.items(), key=lambda x: x[0][0]):
+            has = known.setdefault(peer, set())
+            if any(r for _, _, r in turn):
+                has.clear()
+            refs = [(d, n) for d, n, r in turn if not r]
+            new = {(d, n) for d, n in refs if d and d not in has}
+            want[peer, seq] = (len(refs), sum(not d or d in has for d, _ in refs), len(new), sum(n for _, n in new))
+            has |= {d for d, _ in new}
+    at, made = str(tmp_path), []
+    for n, rows in enumerate(batches):
+        made.append(spark.createDataFrame(rows, schema))
+        made[-1].coalesce(1).write.parquet(f"{at}/in/{n}")
+        source = spark.readStream.schema(schema).parquet(f"{at}/in/*")
+        presence(source, f"{at}/out").trigger(availableNow=True).start().awaitTermination()
+    have = lambda: {(r.peer, r.seq): (r.refs, r.refs_hit, r.push_blocks, r.pushed_bytes) for r in requests(spark, f"{at}/out").collect()}
+    assert have() == want and requests(spark, f"{at}/out").count() == len(want)
+    step(made[-1], 3, f"{at}/out")  # a batch that runs again, as after a failure
+    assert have() == want and requests(spark, f"{at}/out").count() == len(want)
+
+
 def test_bloom_is_of_the_documents(spark, tmp_path):
     texts = [None if i == 7 else f"text {i // 3}" for i in range(3000)]
     folder = documents(spark, tmp_path, [(i, t, "en", "a", None) for i, t in enumerate(texts)])
