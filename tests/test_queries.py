@@ -177,6 +177,17 @@ def test_replay_is_of_every_conversation(spark, tmp_path):
         assert w["body_len"] is None and not r.split or r.asDict() == {c: w[c] for c in r.__fields__}  # SQL has no length where all is null
 
 
+def test_replay_is_that_of_one_session_over_whole_bodies(spark):
+    talk = table(spark, "/root/testdata/sf0.01", "conversations")
+    session, want = P.Session(P.Policy(min_body=replay.MIN_BODY, cdc_fallback=False)), {}
+    for r in replay.bodies(talk).orderBy("conv_id", "turn").collect():
+        b = r.body.encode()
+        reason, _, _, x = session.split(b)
+        want[r.conv_id, r.turn] = (len(b), reason is None, x.refs, x.refs_hit, x.push_blocks, x.push_bytes, len(b) if reason else x.wire)
+    have = replay.replayed(talk).collect()
+    assert {(r.conv_id, r.turn): (r.body_len, r.split, r.refs, r.refs_hit, r.push_blocks, r.push_bytes, r.wire_model) for r in have} == want
+
+
 def test_replay_is_dealt_by_conversation(spark, sf):
     plan = QUERIES["replay_sequential"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("MapInPandas") :]
