@@ -293,6 +293,41 @@ def test_near_dedup_keeps_one_row_of_each_component(spark):
     assert sorted(r.text for r in near_deduplicated(only, 2).collect()) == sorted([a, b])
 
 
+def test_near_dedup_of_a_large_bucket_has_few_tasks(spark):
+    r = random.Random(7)
+    base, texts = [f"b{i}" for i in range(120)], []
+    for _ in range(300):  # each is unlike the others, but most share bands
+        at = set(r.sample(range(120), 9))
+        texts.append(" ".join(f"n{r.randint(0, 10**9)}" if i in at else w for i, w in enumerate(base)))
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    sc, status = spark.sparkContext, spark.sparkContext.statusTracker()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("large bucket", "")
+        got = by_id(near_components(frame(spark, texts), 2), "n_shingles", "component_id", "kept")
+        stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("large bucket") for s in status.getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    docs = list(enumerate(texts))
+    assert [(i, *got[i]) for i, _ in docs] == brute.near(docs)
+    assert max(s.numTasks for s in stages if s) <= 500  # 19,859 where both sides of the join of members and centres are split
+
+
+def test_near_dedup_compares_each_pair_in_one_cell(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CELL", 7)
+    sizes = {1: 40, 2: 6, 3: 15}
+    nodes = [(key, 1000 * key + i, n) for key, n in sizes.items() for i in range(n)]
+    now = spark.createDataFrame([(*x, x[2] - 1) for x in nodes], "key long, node long, size long, minor long")
+    for covered in (1.0, 9.0, 64.0):
+        centre = now.filter(F.col("node") % 1000 < F.least(F.lit(covered), "minor")).withColumnRenamed("node", "x")
+        got = sorted((r.key, r.node, r.x) for r in near_dedup._compared(now, centre, covered).collect())
+        assert got == sorted((k, i, 1000 * k + c) for k, i, n in nodes for c in range(min(int(covered), n - 1)))
+
+
 def test_set_maps_never_rule_out_a_link(spark):
     r = np.random.default_rng(1)
     rows = []

@@ -29,6 +29,8 @@ CENTRES = 64
 PAIRS, SALTS = 512, 16
 #: Bits of the map of a set that later rounds hold pairs against before their sets, and words of its folded form.
 MAP_BITS, FOLDED = 4096, 16
+#: In later rounds the n members, or centres, of a bucket are dealt out in the root of n / CELL shares.
+CELL = 128
 #: Pairs that a last task of the verification is for, about.
 TASK_PAIRS = 2000
 FOLDS = [f"f{i}" for i in range(FOLDED)]
@@ -227,6 +229,23 @@ def _labelled(s: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
     return alone, some.join(salted, ["node", "_salt"], "left").drop("_salt")
 
 
+def _compared(now: DataFrame, centre: DataFrame, covered: float) -> DataFrame:
+    """The rows of `now` with those of `centre` (x, and the key, size and minor of its bucket) by key.
+
+    Both sides are dealt out by hand, in cells of a share of the members and one of the centres; the
+    root keeps both the cells and the copies of a row few. So no join is left to be split where it runs:
+    that splits both sides of a large bucket, by bytes, into as many tasks as the product of their
+    pieces, and the driver keeps the metrics of every task.
+    """
+    shares = {"_row": F.ceil(F.sqrt(F.col("size") / CELL)), "_col": F.ceil(F.sqrt(F.least("minor", F.lit(covered)) / CELL))}
+    share = lambda node, k: F.pmod(F.xxhash64(node, F.lit(k)), shares[k]).cast("int").alias(k)
+    every = lambda k: F.explode(F.sequence(F.lit(0), shares[k].cast("int") - 1)).alias(k)
+    cell = ["key", "_row", "_col"]
+    a = now.select("*", share("node", "_row"), every("_col")).repartition(*cell)
+    b = centre.select("*", share("x", "_col"), every("_row")).drop("size", "minor").repartition(*cell)
+    return a.join(b, cell).drop("_row", "_col")
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`.
 
@@ -283,8 +302,8 @@ def _linked(m: DataFrame, n: int, sets: DataFrame, keys: DataFrame, percent: int
             at = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("minor")
             now = now.join(maps, "node")
             centre = now.filter((F.col("root") != F.col("major")) & (at < covered))
-            centre = centre.select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("keys").alias("xkeys"), *[F.col(c).alias(f"x{c}") for c in ("map", "on", "fon", *FOLDS)])
-        pairs = now.join(centre, "key").filter("root != xr").filter(100 * F.least("n", "xn") >= percent * F.greatest("n", "xn"))
+            centre = centre.select("key", "size", "minor", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("keys").alias("xkeys"), *[F.col(c).alias(f"x{c}") for c in ("map", "on", "fon", *FOLDS)])
+        pairs = (now.join(centre, "key") if step == 1 else _compared(now, centre, covered)).filter("root != xr").filter(100 * F.least("n", "xn") >= percent * F.greatest("n", "xn"))
         if step > 1:
             upto = lambda c: F.slice(c, F.lit(1), F.col("band").cast("int"))
             earlier = F.exists(F.zip_with(upto("keys"), upto("xkeys"), lambda x, y: x == y), lambda e: e)
