@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -453,6 +454,31 @@ def test_line_dedup_hot_lines(spark, monkeypatch):
         assert {i: x[0] for i, x in by_id(line_deduplicated(frame(spark, texts)), "text").items()} == want
 
 
+def files_of_tables(spark, run):
+    """The files of each table that `run` writes, by the table's name, where Spark merges no partitions by itself."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before, first = {k: spark.conf.get(k, None) for k in conf}, len(C._TABLES)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        run()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    files = {}
+    for at in C._TABLES[first:]:
+        name = os.path.basename(at).rsplit("-", 1)[0]
+        files[name] = files.get(name, 0) + sum(x.startswith("part-") for x in os.listdir(at.removeprefix("file://")))
+    return files
+
+
+def test_line_dedup_writes_few_files(spark):
+    texts = ["\n".join([f"a line of its own, {i * 7919}", f"a line of two, {i // 2 * 104729}", f"near to others {i:04}"]) for i in range(300)]
+    files = files_of_tables(spark, lambda: line_deduplicated(frame(spark, texts)).collect())
+    assert files.pop("lines") <= 64 and files.keys() >= {"firsts", "shared", "candidates", "candidate-lines", "near-lines", "marked", "drops"}
+    assert max(files.values()) <= 4, files
+
+
 def test_mixing(spark, sf):
     df, docs = documents(spark, sf)
     out = mixed(df, copy_col="copy")

@@ -70,7 +70,8 @@ _TABLES: list[str] = []
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Cuts the lineage: `df` as a Parquet table in the shared folder, which survives lost executors.
 
-    `rows`, where a bound is known, lets tables of few rows have few files and few last tasks.
+    `rows`, where a bound is known, lets tables of few rows have few files and few last tasks. (On a
+    local file system without Hadoop's native library, each file starts three processes of the JVM.)
     """
     spark = df.sparkSession
     small_batches(spark)

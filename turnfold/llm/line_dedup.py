@@ -176,16 +176,21 @@ def _confirmed(pairs: DataFrame) -> DataFrame:
     return C.mapped(pairs.select("h", "one", "two"), run, "h long")
 
 
-def _near(docs: DataFrame, occ: DataFrame, firsts: DataFrame) -> DataFrame:
-    """h of the lines that lie at an edit distance of 1 from a line that first occurs earlier."""
+def _near(docs: DataFrame, occ: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
+    """h of the lines that lie at an edit distance of 1 from a line that first occurs earlier.
+
+    n: how many different lines there are."""
     keys = occ.select("h", F.explode("keys").alias("key"))
-    shared = C.written(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a != b").select("key"), "shared")
+    # a line has four keys, and a shared key two lines at least: so they are 2 * n at most
+    shared = C.written(keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a != b").select("key"), "shared", 2 * n)
     some = C.with_maybe(keys, "key", shared, "key", "_maybe").filter("_maybe").drop("_maybe").join(shared, "key", "left_semi")
     # numbered in the order of first occurrence: a key of the join is then two numbers wide
     some = some.select("h").distinct().join(firsts, "h").select("h", "first").orderBy("first")
-    some = C.written(some.select("h", "first", F.monotonically_increasing_id().alias("id")), "candidates")
+    some = C.written(some.select("h", "first", F.monotonically_increasing_id().alias("id")), "candidates", n)
+    n_some = some.count()
     own = C.with_maybe(docs.select("_k", "text"), "_k", some.select(F.col("first.k").alias("k")), "k", "_maybe").filter("_maybe")
-    text = C.written(_texts(own).join(some.select("h", "id"), "h").dropDuplicates(["h"]).select("id", "h", "line_text"), "candidate-lines")
+    # all lines of their texts are read for that: more files than for the candidates alone
+    text = C.written(_texts(own).join(some.select("h", "id"), "h").dropDuplicates(["h"]).select("id", "h", "line_text"), "candidate-lines", 16 * n_some)
     chars = text.agg(F.sum(F.length("line_text"))).first()[0] or 0
     v = _neighbourhood(text.repartition(max(1, -(-chars // TASK_CHARS)), "id"))
     kind, at = F.col("p") % 4, F.shiftright("p", 2)
@@ -195,12 +200,12 @@ def _near(docs: DataFrame, occ: DataFrame, firsts: DataFrame) -> DataFrame:
     other = F.when(kind == 0, F.col("e0")).when(kind == 1, F.col("e2")).otherwise(F.col("e1"))
     pairs = v.select("p", *earliest).select(at.alias("id"), other.alias("other")).filter("other < id").groupBy("id").agg(F.min("other").alias("other"))
     a, b = text.select("id", "h", F.col("line_text").alias("one")), text.select(F.col("id").alias("other"), F.col("line_text").alias("two"))
-    return C.written(_confirmed(pairs.join(a, "id").join(b, "other")), "near-lines")
+    return C.written(_confirmed(pairs.join(a, "id").join(b, "other")), "near-lines", n_some)
 
 
 def _found(occ: DataFrame, marked: DataFrame) -> DataFrame:
     """`occ` joined to `marked` (h, first, all, times) on h; lines of many occurrences are broadcast or, if they are many, salted."""
-    hot = C.written(marked.filter(F.col("times") > HOT), "hot-lines")
+    hot = marked.filter(F.col("times") > HOT)
     n, cold = hot.count(), marked.filter(F.col("times") <= HOT).drop("times")
     if not n:
         return occ.join(cold, "h")
@@ -222,14 +227,16 @@ def dropped_lines(docs: DataFrame, exact_only: bool = False) -> DataFrame:
     if an equal line, or one whose text first occurs earlier and is at edit distance 1, precedes it.
     """
     occ = C.written(_occurrences(docs), "lines")
+    n_occ = occ.count()
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("k"), F.col("line"))
-    firsts = C.written(occ.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times")), "firsts")
+    firsts = C.written(occ.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times")), "firsts", n_occ)
+    n = firsts.count()
     marked = firsts.filter("times > 1").withColumn("all", F.lit(False))
     if not exact_only:
-        near = _near(docs, occ, firsts)
+        near = _near(docs, occ, firsts, n)
         marked = marked.join(near, "h", "left_anti").unionByName(near.join(firsts, "h").withColumn("all", F.lit(True)))
-    hit = _found(occ.select("h", "k", "doc_id", "line"), C.written(marked, "marked")).filter(F.col("all") | (place != F.col("first")))
-    return hit.groupBy("k").agg(F.array_sort(F.collect_set("line")).alias("drops"))
+    hit = _found(occ.select("h", "k", "doc_id", "line"), C.written(marked, "marked", n)).filter(F.col("all") | (place != F.col("first")))
+    return C.written(hit.groupBy("k").agg(F.array_sort(F.collect_set("line")).alias("drops")), "drops", n_occ)
 
 
 def line_deduplicated(docs: DataFrame, counts: tuple[str, str] | None = None) -> DataFrame:
@@ -243,7 +250,7 @@ def line_deduplicated(docs: DataFrame, counts: tuple[str, str] | None = None) ->
     """
     k, flag, cut, all_ = (C.free_name(docs, x) for x in ("_row", "_maybe", "_cut", "_all"))
     keyed = docs.withColumn(k, C.row_key(docs, "doc_id", "text"))
-    drops = C.written(dropped_lines(keyed.select(F.col(k).alias("_k"), "doc_id", "text")), "drops").withColumnRenamed("k", k)
+    drops = dropped_lines(keyed.select(F.col(k).alias("_k"), "doc_id", "text")).withColumnRenamed("k", k)
     drops = drops.withColumnRenamed("drops", gone := C.free_name(docs, "_drops"))
     split = C.with_maybe(keyed, k, drops, k, flag)
     hit = split.filter(flag).join(drops, k, "left")
