@@ -479,6 +479,15 @@ def test_line_dedup_writes_few_files(spark):
     assert max(files.values()) <= 4, files
 
 
+def test_substrings_write_few_files(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefg ") for _ in range(600)) for _ in range(200)]
+    texts += texts[:100] + [x[:50] + y[:500] for x, y in zip(texts[:100], texts[100:], strict=True)]
+    files = files_of_tables(spark, lambda: substring_deduplicated(frame(spark, texts)).collect())
+    assert files.keys() >= {"digests", "copies", "ranges", "spans", "passages"}
+    assert max(files.values()) <= 4, files
+
+
 def test_mixing(spark, sf):
     df, docs = documents(spark, sf)
     out = mixed(df, copy_col="copy")

@@ -172,7 +172,7 @@ def _met(named: DataFrame, surely: bool = False) -> DataFrame:
         sure[order], stands[order] = np.repeat(repeated, np.diff(np.r_[first, len(h)])), new
         yield from rows(h, k, a, b, w > 0, sure, stands)
 
-    return named.repartition(parts, where).mapInArrow(run, "h long, k long, a long, b long, ask boolean, sure boolean, stands boolean")
+    return C.mapped(named.repartition(parts, where), run, "h long, k long, a long, b long, ask boolean, sure boolean, stands boolean")
 
 
 def _sampled(docs: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def _sampled(docs: DataFrame) -> DataFrame:
                 yield from out.add(g, keys[c.first + doc], packed, np.zeros(len(at), np.int64), np.ones(len(at), bool))
         yield from out.flush()
 
-    return docs.select("_k", "text").mapInArrow(run, NAMED)
+    return C.mapped(docs.select("_k", "text"), run, NAMED)
 
 
 def passage_samples(c: B.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +226,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                 yield from out.add(name, keys[c.first + doc], at, np.zeros(len(at), np.int64), np.ones(len(at), bool))
         yield from out.flush()
 
-    return _met(docs.select("_k", "text").mapInArrow(run, NAMED), surely=True).groupBy("k").agg(F.count("*").alias("n_passages"))
+    return _met(C.mapped(docs.select("_k", "text"), run, NAMED), surely=True).groupBy("k").agg(F.count("*").alias("n_passages"))
 
 
 def stretches(at: np.ndarray, g: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], list[tuple[int, int]]]:
@@ -296,7 +296,7 @@ def _stretches(found: DataFrame) -> DataFrame:
                     yield from out.add(name, np.full(len(a), k), a, b, np.ones(len(a), bool))
         yield from out.flush()
 
-    return found.mapInArrow(run, NAMED)
+    return C.mapped(found, run, NAMED)
 
 
 def _windows(texts: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def _windows(texts: DataFrame) -> DataFrame:
                 yield from out.add(name[p], np.full(len(p), k), p, p, asks)
         yield from out.flush()
 
-    return texts.mapInArrow(run, NAMED)
+    return C.mapped(texts, run, NAMED)
 
 
 def _joined(found: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def _joined(found: DataFrame) -> DataFrame:
             counts = np.bincount(start >> 33, minlength=len(offs) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), B.lists((start & (1 << 33) - 1) << 32 | end & (1 << 33) - 1, counts, pa.int64())], names=["k", "spans"])
 
-    return found.mapInArrow(run, "k long, spans array<long>")
+    return C.mapped(found, run, "k long, spans array<long>")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -372,18 +372,18 @@ def _cut(texts: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["_k", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.mapInArrow(run, "_k long, n_removed long, n_spans long, kept_sha256 string")
+    return C.mapped(texts, run, "_k long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, n: int) -> DataFrame:
     """k, spans: the byte runs of the windows of LENGTH bytes that also start elsewhere in `docs`.
 
-    docs: _k, text, every text once."""
+    docs: _k, text, every text once. n: about how many rows; only the number of files goes by it."""
     found = _met(_sampled(docs), surely=True).groupBy("k").agg(F.collect_set(F.struct("a", "h")).alias("items"))
     ranges = _met(_stretches(found.select("k", "items")))
     last = F.when(F.col("b") < 0, -F.col("b") - 1).otherwise(F.col("b"))
     sure = F.col("sure") & (F.col("b") >= 0)
-    ranges = C.written(ranges.select("k", "a", last.alias("b"), sure.alias("sure"), (~sure | F.col("stands")).alias("out")), "ranges")
+    ranges = C.written(ranges.select("k", "a", last.alias("b"), sure.alias("sure"), (~sure | F.col("stands")).alias("out")), "ranges", 8 * n)
     wanted = ranges.filter("out").groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("a", "b", (~F.col("sure")).alias("open"))).alias("own"))
     some = C.with_maybe(docs.select("_k", "text"), "_k", ranges.filter("out"), "k", "_maybe").filter("_maybe").drop("_maybe")
     open_ = _met(_windows(some.join(wanted, "_k").select("_k", "text", "own")), surely=True)
@@ -405,18 +405,19 @@ def substring_deduplicated(docs: DataFrame, keep: list[str] | None = None) -> Da
     size, k, text = C.free_name(docs, "_n"), "_k", F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], text.alias("text"))
     base = base.withColumn(k, F.xxhash64(*[f"_keep{i}" for i in range(len(keep))], "text")).withColumn(size, F.octet_length("text").cast("long"))
-    long_ = base.filter(F.col(size) >= LENGTH)
-    ids = C.written(long_.select(k, size, F.md5("text").alias("digest")).groupBy(k, "digest").agg(F.max(size).alias("n_bytes"), F.count("*").alias("rows")), "digests")
+    n_docs, long_ = docs.count(), base.filter(F.col(size) >= LENGTH)
+    ids = C.written(long_.select(k, size, F.md5("text").alias("digest")).groupBy(k, "digest").agg(F.max(size).alias("n_bytes"), F.count("*").alias("rows")), "digests", n_docs)
+    n_ids = ids.count()
     groups = ids.groupBy("digest").agg(F.min(k).alias("first"), F.sum("rows").alias("times")).filter("times > 1")
-    copies = C.written(ids.join(groups, "digest").select(F.col(k).alias("k"), "first", "n_bytes", "rows"), "copies")
+    copies = C.written(ids.join(groups, "digest").select(F.col(k).alias("k"), "first", "n_bytes", "rows"), "copies", n_ids)
     # each text once: rows that surely are no copies, and the first of each group
     split = C.with_maybe(long_.select(k, "text"), k, copies, "k", "_maybe")
     rest = split.filter("_maybe").drop("_maybe").join(copies.filter("k <> first").select(F.col("k").alias(k)), k, "left_anti")
     rest = rest.join(copies.filter("rows > 1").select(F.col("k").alias(k)), k, "left_anti").union(
         split.filter("_maybe").drop("_maybe").join(copies.filter("k = first and rows > 1").select(F.col("k").alias(k)), k, "left_semi").dropDuplicates([k])
     )
-    spans = C.written(repeated_windows(split.filter("not _maybe").drop("_maybe").union(rest)), "spans")
-    passages = C.written(repeated_passages(base), "passages")
+    spans = C.written(repeated_windows(split.filter("not _maybe").drop("_maybe").union(rest), n_ids), "spans", 4 * n_ids)
+    passages = C.written(repeated_passages(base), "passages", n_docs)
     copies = copies.select("k", "n_bytes")
     partly = spans.join(copies.select("k"), "k", "left_anti").withColumnRenamed("k", k)
     cols = [F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)]
